@@ -34,7 +34,7 @@ LEAF = 48
 #: Most matches that a worker remembers, and the longest (characters); beyond it the dictionary starts anew.
 REMEMBERED, LONGEST = 400_000, 64
 #: The rank files' \s: the Unicode property White_Space.
-WHITE = r"\t\n\x0b\f\r \x85\xa0  -     　"
+WHITE = r"\t\n\x0b\f\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class ByteBPE:
