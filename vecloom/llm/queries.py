@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language, media, mixing, token_counts
+from . import byte_bpe, fingerprints, html_text, language, media, mixing, simhash, token_counts
 from .common import documents
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir), seed=42)
 
@@ -19,6 +23,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_ids(documents(spark, sf_dir), width=4, most=4)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(documents(spark, sf_dir))
 
@@ -36,7 +44,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op4_token_counts, op6_fingerprints, op7_byte_bpe, op8_language, op9_media)
+    f.__name__: f for f in (op1_html_text, op3_mixing, op4_token_counts, op5_simhash, op6_fingerprints, op7_byte_bpe, op8_language, op9_media)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL.format(docs="documents")}
