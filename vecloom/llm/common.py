@@ -46,14 +46,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``SLICE_BYTES`` of ``text`` or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``most`` bytes of ``text`` or one row."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
         start = size = 0
         lengths = pa.compute.binary_length(batch.column(at)).to_pylist() if at >= 0 else []
         for i, n in enumerate(lengths):
-            if i > start and size + (n or 0) > SLICE_BYTES:
+            if i > start and size + (n or 0) > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n or 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_text, language, media, mixing, simhash, token_counts
+from . import byte_bpe, fingerprints, html_text, language, media, mixing, simhash, substrings, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(documents(spark, sf_dir), size=200, keep_bytes=False)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir), seed=42)
 
@@ -43,8 +47,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(documents(spark, sf_dir), keep_media=False)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(documents(spark, sf_dir).select("doc_id", "text"), size=13, keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op3_mixing, op4_token_counts, op5_simhash, op6_fingerprints, op7_byte_bpe, op8_language, op9_media)
+    f.__name__: f
+    for f in (op1_html_text, op2_suffix_dedup, op3_mixing, op4_token_counts, op5_simhash, op6_fingerprints, op7_byte_bpe, op8_language, op9_media, op10_substrings)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL.format(docs="documents")}
