@@ -9,6 +9,11 @@ bits verifies them. A key's members never become pairs of rows: inside a task sm
 groups are compared by shifted columns, large ones by a search that takes linked
 members out as it meets them, and a task returns a spanning forest of its links.
 
+Fingerprints of several times 64 bits (tables) take further bits from each hash mixed
+anew. Cut into three segments a table, they are compared in the same way: pairs that
+differ in fewer bits than twice the number of segments are found for certain, others with the
+chance that one of the segments differs in at most one bit (``miss_chance``).
+
 Defined cases: a null or empty text has no shingles and fingerprint 0, and is linked to
 its like as any other; a text of fewer words than a shingle is one shingle; rows with
 equal ids share a component; null ids are no one's component unless alone with null;
@@ -17,6 +22,7 @@ other columns are ignored, whatever their names; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -51,6 +57,25 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits from each hash (the finaliser of SplitMix64)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def miss_chance(similarity: float, tables: int) -> float:
+    """Chance that no segment of texts of a Jaccard similarity differs in at most one bit."""
+    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, BITS / SEGMENTS
+    return (1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1)) ** (SEGMENTS * tables)
+
+
+def bits_apart(similarity: float, tables: int) -> int:
+    """Differing bits to expect, rounded down, of texts of a Jaccard similarity."""
+    return int(BITS * tables * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bits set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
@@ -60,28 +85,40 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row of ``docs``; fp as a signed long."""
+def names(tables: int) -> list[str]:
+    return [f"fp{t}" for t in range(tables)]
+
+
+def fingerprints(docs: DataFrame, width: int, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp0, fp1, ...) for each row of ``docs``; 64 bits each, as signed longs."""
+    fps = names(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = np.array([fingerprint(shingle_hashes(t, width)) for t in part.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found: list[list[int]] = [[] for _ in fps]
+            for text in part.column(1).to_pylist():
+                hashes = shingle_hashes(text, width)
+                for values in found:
+                    values.append(fingerprint(hashes))
+                    hashes = remixed(hashes)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in found)], ["id", *fps])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long" + "".join(f", {f} long" for f in fps))
 
 
-def variant_keys(fps: np.ndarray) -> Iterator[np.ndarray]:
-    """One key a fingerprint for each bit: its segment without that bit, and which bit."""
+def variant_keys(fps: np.ndarray, table: int) -> Iterator[np.ndarray]:
+    """One key a fingerprint for each bit: its segment without that bit, and which bit of which table."""
     for low, high in zip(_ENDS, _ENDS[1:]):
         mask = np.uint64((1 << high) - (1 << low))
         for bit in range(low, high):
             segment = (fps & (mask & ~np.uint64(1 << bit))) >> np.uint64(low)
-            yield (segment | np.uint64(bit << 32)).view(np.int64)
+            yield (segment | np.uint64(table * BITS + bit << 32)).view(np.int64)
 
 
-def _close(a: np.ndarray, b: np.ndarray | np.uint64, most: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= most
+def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of (fingerprint, table) differ in at most so many bits."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
 
 
 def group_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,46 +170,61 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[hung], nodes[root[hung]]
 
 
-def links(distinct: DataFrame, most: int = 4) -> DataFrame:
-    """(a, b) of representatives in distinct (fp, id) that connect all within ``most`` bits."""
-    if most // SEGMENTS > 1:
-        raise ValueError(f"{SEGMENTS} segments find pairs of up to {2 * SEGMENTS - 1} differing bits")
+def links(distinct: DataFrame, tables: int = 1, most: int = 4) -> DataFrame:
+    """(a, b) of representatives in distinct (fp0, ..., id) that connect all found within ``most`` bits."""
+    fps = names(tables)
+    columns = ["key", *fps, "id"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for i in range(0, part.num_rows, 2000):
-                cut = part.slice(i, 2000)
-                fps = cut.column(0).to_numpy().view(np.uint64)
-                keys = np.concatenate([*variant_keys(fps)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(fps, BITS).view(np.int64)), pa.array(np.tile(cut.column(1).to_numpy(), BITS))], ["key", "fp", "id"])
+                cut = [c.to_numpy() for c in part.slice(i, 2000).columns]
+                keys = np.concatenate([k for t in range(tables) for k in variant_keys(cut[t].view(np.uint64), t)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(c, BITS * tables)) for c in cut)], columns)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [*batches]
         if not parts:
             return
-        keys, fps, ids = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
-        order = np.lexsort((fps, keys))
-        x, y = group_links(keys[order], fps[order].view(np.uint64), most)
+        keys, *found, ids = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(len(columns)))
+        del parts
+        order = np.argsort(keys, kind="stable")
+        x, y = group_links(keys[order], np.stack(found, axis=1)[order].view(np.uint64), most)
         ids = ids[order]
         a, b = forest(ids[x], ids[y])
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
 
-    keyed = distinct.select("fp", "id").mapInArrow(index, "key long, fp long, id long")
+    keyed = distinct.select(*fps, "id").mapInArrow(index, ", ".join(f"{c} long" for c in columns))
     return keyed.repartition("key").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component) for each row of ``docs``: the smallest id that links lead to, itself included."""
-    found = materialize(fingerprints(docs, width, id_col, text_col))  # texts are hashed once
-    distinct = found.groupBy("fp").agg(F.min("id").alias("id"))
-    known = distinct.filter("id is not null")
-    linked = components(links(known, most)).select(F.col("node").alias("id"), "component")
-    heads = distinct.withColumnRenamed("id", "head").join(linked.withColumnRenamed("id", "head"), "head", "left")
-    return found.join(heads.select("fp", F.coalesce("component", "head").alias("component")), "fp").select("id", "fp", "component")
+def near_duplicates(docs: DataFrame, width: int = 5, tables: int = 1, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp0, ..., component) for each row of ``docs``: the smallest id that links lead to, itself included."""
+    fps = names(tables)
+    found = materialize(fingerprints(docs, width, tables, id_col, text_col))  # texts are hashed once
+    distinct = found.groupBy(*fps).agg(F.min("id").alias("id"))
+    linked = components(links(distinct.filter("id is not null"), tables, most)).select(F.col("node").alias("head"), "component")
+    heads = distinct.withColumnRenamed("id", "head").join(linked, "head", "left")
+    return found.join(heads.select(*fps, F.coalesce("component", "head").alias("component")), fps).select("id", *fps, "component")
 
 
 def near_duplicate_ids(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document."""
-    out = near_duplicates(docs, width, most)
-    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    out = near_duplicates(docs, width, 1, most)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def without_copies(docs: DataFrame, width: int = 5, tables: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near copies, that of the smallest id.
+
+    Similarity is what the fingerprint estimates: the share of differing bits is the
+    angle between two texts' shingle vectors. Equal rows of one id count as one document;
+    rows without an id stay.
+    """
+    near = near_duplicates(docs, width, tables, bits_apart(similarity, tables), id_col, text_col)
+    near = materialize(near)
+    dropped = near.filter("id <> component").select(F.col("id").alias("__dropped")).distinct()
+    kept = docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    again = near.filter("id is not null").groupBy("id", *names(tables)).count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if again else kept
