@@ -1,7 +1,7 @@
 """Approximate search: the nearest lists of each query, then the nearest vectors in them.
 
-Queries go out in blocks with their lists. Postings are joined to the block's lists
-first, which prunes folders at run time; each task then compares its rows of a list with
+Queries go out in blocks with their lists. Postings are cut to the folders of the
+block's lists when the scan is planned, and to those lists; each task then compares its rows of a list with
 just the queries that probe it, and returns the k nearest it has for each query.
 """
 
@@ -59,7 +59,9 @@ def ivf_search(index: Index, queries: DataFrame, k: int, nprobe: int, query_id:
         sent = session.sparkContext.broadcast((ids, points, q[order], at[order]))
         own = np.unique(at)
         wanted = session.createDataFrame(pa.table({"list_bucket": pa.array((own // index.lists_per_bucket).astype(np.int32)), "list_id": pa.array(own.astype(np.int32))}))
-        rows = index.postings.join(F.broadcast(wanted), ["list_bucket", "list_id"], "left_semi").select("list_id", "vec_id", "embedding")
+        # The block's folders are known, and at most MOST_BUCKETS: the scan lists no others.
+        folders = index.postings.filter(F.col("list_bucket").isin(np.unique(own // index.lists_per_bucket).tolist()))
+        rows = folders.join(F.broadcast(wanted), ["list_bucket", "list_id"], "left_semi").select("list_id", "vec_id", "embedding")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, vectors, query, list_of = sent.value
