@@ -11,7 +11,7 @@ mostly share theirs, so a text has far fewer anchors than windows.
    deals it by anchor. Of equal contexts in a slice one is sent; what that decides at
    once (``settle``) goes back directly.
 3. A resolver compares the contexts of an anchor and returns spans of windows.
-4. ``collected`` gathers spans by text.
+What tasks send each other is packed, a row for each slice and receiving task.
 
 Texts are shuffled once, by key; the plan's uses of them share that exchange.
 """
@@ -160,18 +160,79 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(key.alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias("rest") for c in more))
 
 
-FOUND = "key long, place binary, before binary, after binary"
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Arrays in few bytes: their bytes by significance, compressed."""
+    sizes = np.array([len(columns), *(x for c in columns for x in (c.dtype.itemsize, len(c)))], "<i8")
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    raw = sizes.tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    sizes = np.frombuffer(raw, "<i8", 1 + 2 * len(kinds))[1:].tolist()
+    at, out = 8 * (1 + 2 * len(kinds)), []
+    for kind, width, n in zip(kinds, sizes[::2], sizes[1::2]):
+        planes = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += width * n
+    return out
+
+
+PACKED = "bucket int, kind int, packed binary"
+
+
+def packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "packed"])
+
+
+def dealt(bucket: np.ndarray, kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """A packed row for each bucket."""
+    by = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1], True]) if by.size else np.zeros(1, np.int64)
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(bucket[by[i]]), kind, pack([c[by[i:j]] for c in columns])
+
+
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(values.view(np.uint64)) >> np.uint64(20)) % np.uint64(buckets)
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_key(sent: DataFrame, names: list[str], kinds: list) -> DataFrame:
+    """(key, names): packed rows of (key, values) as one row for each key, its values as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(x, ["<i8", *kinds]) for batch in batches for x in batch.column(2).to_pylist()]
+        if not parts:
+            return
+        keys, *columns = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.argsort(keys, kind="stable")
+        keys, columns = keys[order], [c[order] for c in columns]
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        for i in range(0, len(edges) - 1, 20_000):
+            cut = edges[i : i + 20_001].tolist()
+            values = [pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut[:-1]]), *values], ["key", *names])
+
+    return sent.repartitionById(partitions(sent), "bucket").mapInArrow(run, "key long" + "".join(f", {n} binary" for n in names))
+
+
+FOUND, FOUND_KINDS = ["place", "before", "after"], ["<u4", np.uint8, np.uint8]
 
 
 def shared(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
-    """(key, FOUND): anchors with a hash that occurs more than once; before and after as offsets of windows.
+    """(key, FOUND): anchors with a hash that occurs more than once.
 
-    place: where the anchor is (uint32); before, after: from its first and its last
-    window to it (uint8).
+    place: where the anchor is; before, after: from its first and its last window to it.
     """
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "bucket int, known boolean, keys binary, hash binary, place binary, before binary, after binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    buckets = partitions(rows)
+    OPEN, KNOWN, SIGN = range(3)
+    kinds = ["<i8", "<u8", *FOUND_KINDS]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
@@ -180,106 +241,85 @@ def shared(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
             if not a.hash.size:
                 continue
             keys = part.column(0).to_numpy()[a.text]
-            columns = [keys, a.hash, (a.place - units.bounds[a.text]).astype("<u4"), (a.place - a.first).astype(np.uint8), (a.place - a.last).astype(np.uint8)]
+            columns = [(a.place - units.bounds[a.text]).astype("<u4"), (a.place - a.first).astype(np.uint8), (a.place - a.last).astype(np.uint8)]
             order = np.argsort(a.hash, kind="stable")
             hashes = a.hash[order]
             new = np.r_[True, hashes[1:] != hashes[:-1]]
             count = np.diff(np.r_[np.flatnonzero(new), len(new)])
             repeated = np.repeat(count > 1, count)
-            once, twice = order[~repeated], order[repeated]
-            out: list[tuple] = []
-            bucket = (columns[1] >> np.uint64(20)) % np.uint64(buckets)
-
-            def deal(at: np.ndarray, known: bool) -> None:
-                by = at[np.argsort(bucket[at], kind="stable")]
-                edges = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1], True]) if by.size else [0]
-                for i, j in zip(edges[:-1], edges[1:]):
-                    out.append((int(bucket[by[i]]), known, *(c[by[i:j]].tobytes() for c in columns)))
-
-            deal(once, False)
-            # Shared already; their hash goes out once more, as a sign for the other slices.
+            # In the order of texts, which packs well.
+            once, twice = np.sort(order[~repeated]), np.sort(order[repeated])
+            bucket = bucket_of(a.hash, buckets)
+            out = [*dealt(bucket[once], OPEN, [c[once] for c in (keys, a.hash, *columns)])]
             if twice.size:
+                # Shared already, and dealt by text, so that a frequent hash doesn't gather
+                # them; the hash goes out once more, as a sign for the other slices.
+                out += dealt(bucket_of(keys[twice], buckets), KNOWN, [c[twice] for c in (keys, *columns)])
                 signs = order[new & repeated]
-                by = signs[np.argsort(bucket[signs], kind="stable")]
-                edges = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1], True])
-                out += [(int(bucket[by[i]]), False, b"", columns[1][by[i:j]].tobytes(), b"", b"", b"") for i, j in zip(edges[:-1], edges[1:])]
-                # They are dealt by text, so that a frequent hash doesn't gather them.
-                bucket = (mixed(columns[0].view(np.uint64)) >> np.uint64(20)) % np.uint64(buckets)
-                deal(twice, True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.bool_(), *[pa.binary()] * 5])], names)
+                out += dealt(bucket[signs], SIGN, [a.hash[signs]])
+            yield packed_rows(out)
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[list[np.ndarray]] = [[], [], [], [], []]
-        known: list[list[np.ndarray]] = [[], [], [], [], []]
-        signs: list[np.ndarray] = []
-        kinds = ["<i8", "<u8", "<u4", np.uint8, np.uint8]
-        for part in batches:
-            for row in zip(*(c.to_pylist() for c in part.columns[1:])):
-                if not row[1]:
-                    signs.append(np.frombuffer(row[2], "<u8"))
-                    continue
-                for column, value, kind in zip(known if row[0] else pending, row[1:], kinds):
-                    column.append(np.frombuffer(value, kind))
-        if not pending[0] and not known[0]:
-            return
-        columns = [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(pending, kinds)]
-        hashes = np.concatenate([columns[1], *signs])
-        order = np.argsort(hashes, kind="stable")
-        sorted_ = hashes[order]
-        twin = np.zeros(len(order), bool)
-        twin[1:] = sorted_[1:] == sorted_[:-1]
-        twin[:-1] |= twin[1:]
-        at = order[twin]
-        at = at[at < len(columns[1])]
-        keys, _, *rest = (np.concatenate([c[at], *k]) for c, k in zip(columns, known))
-        yield from by_key(keys, rest, FOUND)
-
-    return rows.select("key", "text").mapInArrow(find, schema).repartition("bucket").mapInArrow(agree, FOUND)
-
-
-def by_key(keys: np.ndarray, columns: list[np.ndarray], schema: str) -> Iterator[pa.RecordBatch]:
-    """A row for each key, with its values as bytes."""
-    order = np.argsort(keys, kind="stable")
-    keys, columns = keys[order], [c[order] for c in columns]
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, np.int64)
-    names = [x.split()[0] for x in schema.split(", ")]
-    for i in range(0, len(edges) - 1, 20_000):
-        cut = edges[i : i + 20_001].tolist()
-        values = [pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[cut[:-1]]), *values], names)
-
-
-def with_found(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
-    """(key, id, text, ...): rows with what was found for their key, each column's values one after the other."""
-    gathered = found.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("found"))
-    return rows.join(gathered, "key", "left")
-
-
-def joined_arrays(column: pa.Array, names: list[str], kinds: list) -> list[list[np.ndarray] | None]:
-    """For each row None, or the values under each name put together."""
-    out = []
-    for row in column.to_pylist():
-        out.append([np.frombuffer(b"".join(x[n] for x in row), k) for n, k in zip(names, kinds)] if row else None)
-    return out
-
-
-CONTEXT = "route long, context binary, anchor int, nearest int, key long, id long, starts binary"
-#: Units from a window's start to its anchor that a context's windows have: from nearest to anchor.
+        pending, signs, known = [], [], []
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind == OPEN:
+                    pending.append(unpack(blob, kinds))
+                elif kind == SIGN:
+                    signs += unpack(blob, ["<u8"])
+                else:
+                    known.append(unpack(blob, ["<i8", *FOUND_KINDS]))
+        found = []
+        if pending:
+            keys, own, *columns = (np.concatenate(c) for c in zip(*pending))
+            hashes = np.concatenate([own, *signs])
+            order = np.argsort(hashes, kind="stable")
+            sorted_ = hashes[order]
+            twin = np.zeros(len(order), bool)
+            twin[1:] = sorted_[1:] == sorted_[:-1]
+            twin[:-1] |= twin[1:]
+            at = np.sort(order[twin])
+            at = at[at < len(own)]
+            found.append([keys[at], *(c[at] for c in columns)])
+        found += known
+        if found:
+            keys, *columns = (np.concatenate(c) for c in zip(*found))
+            if len(keys):
+                yield packed_rows([*dealt(bucket_of(keys, buckets), 0, [keys, *columns])])
+
+    sent = rows.select("key", "text").mapInArrow(find, PACKED).repartitionById(buckets, "bucket")
+    return by_key(sent.mapInArrow(agree, PACKED), FOUND, FOUND_KINDS)
+
+
+def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, text, ..., found): rows with a struct of what was found for their key, or null."""
+    values = [c for c in found.columns if c != "key"]
+    return rows.join(found.select("key", F.struct(*values).alias("found")), "key", "left")
+
+
+def arrays(column: pa.Array, kinds: list) -> list[list[np.ndarray] | None]:
+    """For each row None, or the values under each name of its struct."""
+    return [[np.frombuffer(x, k) for x, k in zip(row.values(), kinds)] if row else None for row in column.to_pylist()]
+
+
+#: Of a context: its route (of its anchor), from its first and its last window to the anchor,
+#: key and id, how many windows' starts and bytes it has.
+CONTEXT_KINDS = ["<u8", "<i4", "<i4", "<i8", "<i8", "<i4", "<i4"]
+SPANS, SPAN_KINDS = ["starts", "stops"], ["<u4", "<u4"]
 
 
 def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int, settle: Callable) -> DataFrame:
-    """CONTEXT for each distinct context of a slice that other slices can decide.
+    """PACKED contexts of shared anchors by route, and spans that are decided already by key.
 
-    settle(ids, keys, starts) of the equal contexts in a slice says which of them
-    are decided (their windows are all to be removed); the rest are sent. A row with an
-    empty context has decided spans of one key as pairs of uint32.
+    settle(ids, members) of the equal contexts in a slice says which of them are
+    decided (their windows are all to be removed) and which are sent. Where none is sent
+    one stands for all, without starts of its own.
     """
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    buckets = partitions(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
-            found = joined_arrays(part.column(3), ["place", "before", "after"], ["<u4", np.uint8, np.uint8])
+            found = arrays(part.column(3), FOUND_KINDS)
             if not any(found):
                 continue
             units = unit(Texts(part.column(2)))
@@ -299,72 +339,84 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
             groups: dict[bytes, list[int]] = {}
             for i, t in enumerate(texts):
                 groups.setdefault(t, []).append(i)
-            start = (at - b - units.bounds[row]).tolist()
-            row_of, before_of, after_of = row.tolist(), b.tolist(), a.tolist()
-            stop = (at - a + size - units.bounds[row]).tolist()
-            out: list[tuple] = []
-            decided: dict[int, list[int]] = {}
-            ids_of, keys_of = ids.tolist(), keys.tolist()
-            for text, members in groups.items():
-                done, sent = settle([ids_of[row_of[i]] for i in members], members) if len(members) > 1 else ((), members)
-                for i in done:
-                    decided.setdefault(row_of[i], []).extend((start[i], stop[i]))
-                i = members[0]
+            begin = at - b - units.bounds[row]
+            ids_of, row_of, start_of = ids[row].tolist(), row.tolist(), begin.tolist()
+            members_of, starts, counts, decided = [], [], [], []
+            for members in groups.values():
+                done, sent = settle([ids_of[i] for i in members], members) if len(members) > 1 else ((), members)
+                decided += done
                 if not sent:
-                    # One stands for all: others are to know that there are more.
-                    out.append((routes[i] - (1 << 63), text, before_of[i], after_of[i], keys_of[row_of[i]], ids_of[row_of[i]], b""))
+                    members_of.append(members[0])
+                    counts.append(0)
                 by: dict[int, list[int]] = {}
                 for i in sent:
-                    by.setdefault(row_of[i], []).append(start[i])
-                out += [(routes[i] - (1 << 63), text, before_of[i], after_of[i], keys_of[r], ids_of[r], np.array(s, "<u4").tobytes()) for r, s in by.items()]
-            out += [(xxhash.xxh3_64_intdigest(keys_of[r].to_bytes(8, "little", signed=True)) - (1 << 63), b"", 0, 0, keys_of[r], ids_of[r], np.array(s, "<u4").tobytes()) for r, s in decided.items()]
-            for i in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000]), types)], names)
-
-    joined = with_found(rows, found, ["place", "before", "after"]).select("key", F.col("id").cast("long").alias("id"), "text", "found")
-    return joined.mapInArrow(cut, CONTEXT)
-
-
-SPANS = "key long, starts binary, stops binary"
+                    by.setdefault(row_of[i], []).append(i)
+                for own in by.values():
+                    members_of.append(own[0])
+                    counts.append(len(own))
+                    starts += [start_of[i] for i in own]
+            m, n = np.array(members_of, np.int64), np.array(counts, np.int64)
+            route = np.array([routes[i] for i in members_of], "<u8")
+            lengths = np.array([len(texts[i]) for i in members_of], "<i4")
+            fixed = [route, b[m].astype("<i4"), a[m].astype("<i4"), keys[row[m]], ids[row[m]], n.astype("<i4"), lengths]
+            first, places = np.cumsum(n) - n, np.array(starts, "<u4")
+            bucket = bucket_of(route, buckets)
+            by_bucket = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.r_[True, bucket[by_bucket][1:] != bucket[by_bucket][:-1], True]) if m.size else np.zeros(1, np.int64)
+            out = []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = by_bucket[i:j]
+                step = np.arange(int(n[own].sum())) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                data = np.frombuffer(b"".join([texts[k] for k in m[own].tolist()]), np.uint8)
+                out.append((int(bucket[own[0]]), 0, pack([*(c[own] for c in fixed), places[np.repeat(first[own], n[own]) + step], data])))
+            if decided:
+                d = np.sort(np.array(decided, np.int64))
+                out += dealt(bucket_of(keys[row[d]], buckets), 1, [keys[row[d]], begin[d].astype("<u4"), (begin + b - a + size)[d].astype("<u4")])
+            yield packed_rows(out)
+
+    joined = with_found(rows, found).select("key", F.col("id").cast("long").alias("id"), "text", "found")
+    return joined.mapInArrow(cut, PACKED)
 
 
 def resolved(sent: DataFrame, resolve: Callable) -> DataFrame:
-    """SPANS by key: those decided before, and those that resolve makes of the contexts of each route.
+    """(key, SPANS): spans decided before, and those that resolve makes of the contexts of each route.
 
-    resolve(routes, contexts, anchors, nearests, ids, starts) gets the contexts of a task sorted by
-    route and yields (row, first, last) arrays: windows of a row, as offsets in its context.
+    resolve(routes, contexts, anchors, nearests, ids) gets the contexts of a task
+    sorted by route and yields arrays (context, first, stop): runs of units to remove.
     """
+    buckets = partitions(sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [*batches]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        del parts
-        table = table.sort_by("route").combine_chunks()
-        decided = table.filter(pa.compute.equal(pa.compute.binary_length(table["context"]), 0))
-        open_ = table.filter(pa.compute.greater(pa.compute.binary_length(table["context"]), 0))
-        del table
-        keys, starts, stops = [], [], []
-        for key, pairs in zip(decided["key"].to_pylist(), decided["starts"].to_pylist()):
-            x = np.frombuffer(pairs, "<u4")
-            keys.append(np.full(len(x) // 2, key))
-            starts.append(x[::2])
-            stops.append(x[1::2])
-        if open_.num_rows:
-            own = open_["key"].to_numpy()
-            at = [np.frombuffer(s, "<u4") for s in open_["starts"].to_pylist()]
-            for rows, first, stop in resolve(*(open_[n].to_numpy() if n != "context" else open_[n].to_pylist() for n in ("route", "context", "anchor", "nearest", "id")), at):
-                times = np.array([len(at[r]) for r in rows.tolist()], np.int64)
-                if times.sum():
-                    keys.append(np.repeat(own[rows], times))
-                    places = np.concatenate([at[r] for r in rows.tolist()])
-                    starts.append(places + np.repeat(first, times).astype(np.uint32))
-                    stops.append(places + np.repeat(stop, times).astype(np.uint32))
-        if keys:
-            yield from by_key(np.concatenate(keys).astype(np.int64), [np.concatenate(starts).astype("<u4"), np.concatenate(stops).astype("<u4")], SPANS)
-
-    return sent.repartition("route").mapInArrow(run, SPANS)
+        out, fixed, places, data = [], [], [], []
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind:
+                    out.append(unpack(blob, ["<i8", *SPAN_KINDS]))
+                else:
+                    *columns, p, d = unpack(blob, [*CONTEXT_KINDS, "<u4", np.uint8])
+                    fixed.append(columns)
+                    places.append(p)
+                    data.append(d.tobytes())
+        if fixed:
+            route, anchor, nearest, keys, ids, n, lengths = (np.concatenate(c) for c in zip(*fixed))
+            place, whole = np.concatenate(places), b"".join(data)
+            del fixed, places, data
+            n, lengths = n.astype(np.int64), lengths.astype(np.int64)
+            first, ends = np.cumsum(n) - n, np.cumsum(lengths)
+            order = np.argsort(route, kind="stable")
+            texts = [whole[a:b] for a, b in zip((ends - lengths)[order].tolist(), ends[order].tolist())]
+            for rows, begin, stop in resolve(route[order], texts, anchor[order].astype(np.int64), nearest[order].astype(np.int64), ids[order]):
+                own = order[rows]
+                step = np.arange(int(n[own].sum())) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                at = place[np.repeat(first[own], n[own]) + step]
+                out.append([np.repeat(keys[own], n[own]), at + np.repeat(begin, n[own]).astype("<u4"), at + np.repeat(stop, n[own]).astype("<u4")])
+        if out:
+            keys, starts, stops = (np.concatenate(c) for c in zip(*out))
+            if len(keys):
+                by = np.lexsort((starts, keys))
+                yield packed_rows([*dealt(bucket_of(keys[by], buckets), 0, [keys[by], starts[by].astype("<u4"), stops[by].astype("<u4")])])
+
+    return by_key(sent.repartitionById(buckets, "bucket").mapInArrow(run, PACKED), SPANS, SPAN_KINDS)
 
 
 def covered(n: int, spans: list[np.ndarray] | None) -> np.ndarray:

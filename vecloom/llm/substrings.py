@@ -105,7 +105,7 @@ def _settle(ids: list[int], members: list[int]) -> tuple[list[int], list[int]]:
 
 
 def _resolve(size: int):
-    def resolve(routes, contexts, anchors, nearests, ids, at) -> Iterator[tuple]:
+    def resolve(routes, contexts, anchors, nearests, ids) -> Iterator[tuple]:
         order = np.lexsort((ids, routes))
         edges = np.flatnonzero(np.r_[True, routes[order][1:] != routes[order][:-1], True])
         out: list[tuple[int, int, int]] = []
@@ -145,7 +145,7 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     found = passages.shared(rows, Words, size, GRAM)
     sent = passages.contexts(rows, found, Words, size, GRAM, _settle)
     removed = passages.resolved(sent, _resolve(size))
-    joined = passages.with_found(rows, removed, ["starts", "stops"])
+    joined = passages.with_found(rows, removed)
     schema = f"id {kind}, rest {joined.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
             words = Words(Texts(part.column(2)))
             data, starts, ends = words.spaced()
             n, gone, hashes, texts = [], [], [], []
-            found = passages.joined_arrays(part.column(4), ["starts", "stops"], ["<u4", "<u4"])
+            found = passages.arrays(part.column(4), passages.SPAN_KINDS)
             whole = part.column(2).to_pylist() if keep_text else []
             for i, (a, b) in enumerate(zip(words.bounds.tolist(), words.bounds[1:].tolist())):
                 out = passages.covered(b - a, found[i])

@@ -174,7 +174,7 @@ def _settle(ids: list[int], members: list[int]) -> tuple[list[int], list[int]]:
 
 
 def _resolve(size: int):
-    def resolve(routes, contexts, anchors, nearests, ids, at) -> Iterator[tuple]:
+    def resolve(routes, contexts, anchors, nearests, ids) -> Iterator[tuple]:
         edges = np.flatnonzero(np.r_[True, routes[1:] != routes[:-1], True]).tolist()
         strings: list[bytes] = []
         groups: list[int] = []
@@ -230,12 +230,12 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     found = passages.shared(rows, Bytes, size, GRAM)
     sent = passages.contexts(rows, found, Bytes, size, GRAM, _settle)
     removed = passages.resolved(sent, _resolve(size))
-    joined = passages.with_found(rows, removed, ["starts", "stops"])
+    joined = passages.with_found(rows, removed)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, stops array<long>, kept binary" * keep_bytes
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", passages.SLICE):
-            found = passages.joined_arrays(part.column(3), ["starts", "stops"], ["<u4", "<u4"])
+            found = passages.arrays(part.column(3), passages.SPAN_KINDS)
             out = []
             for text, f in zip(part.column(2).to_pylist(), found):
                 raw = (text or "").encode()
