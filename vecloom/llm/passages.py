@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import slices
+from .common import lean, slices, small_batches
 
 #: UTF-8 bytes of text whose units are hashed at once.
-SLICE = 2 << 20
+SLICE = 3 << 19
 BASE = 0x9E3779B97F4A7C15
 MIXER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -155,6 +155,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     """(key, id, text) and, if given, rest: key is the id where an id has one text only, else a hash of both."""
     several = docs.groupBy(id_col).agg((F.min(F.xxhash64(text_col)) != F.max(F.xxhash64(text_col))).alias("d"), F.count(F.lit(1)).alias("n"), F.count(text_col).alias("t"))
     several = several.filter("d or (n <> t and t > 0)").limit(1).count() > 0
+    small_batches(docs.sparkSession)
     number = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     key = F.xxhash64(id_col, text_col) if several else number
     return docs.select(key.alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias("rest") for c in more))
@@ -163,7 +164,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
 def pack(columns: list[np.ndarray]) -> bytes:
     """Arrays in few bytes: their bytes by significance, compressed."""
     sizes = np.array([len(columns), *(x for c in columns for x in (c.dtype.itemsize, len(c)))], "<i8")
-    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns)
     raw = sizes.tobytes() + b"".join(planes)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
@@ -205,6 +206,7 @@ def partitions(df: DataFrame) -> int:
 def by_key(sent: DataFrame, names: list[str], kinds: list) -> DataFrame:
     """(key, names): packed rows of (key, values) as one row for each key, its values as bytes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(x, ["<i8", *kinds]) for batch in batches for x in batch.column(2).to_pylist()]
         if not parts:
@@ -234,6 +236,7 @@ def shared(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
     OPEN, KNOWN, SIGN = range(3)
     kinds = ["<i8", "<u8", *FOUND_KINDS]
 
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
             units = unit(Texts(part.column(1)))
@@ -259,6 +262,7 @@ def shared(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
                 out += dealt(bucket[signs], SIGN, [a.hash[signs]])
             yield packed_rows(out)
 
+    @lean
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, signs, known = [], [], []
         for batch in batches:
@@ -317,6 +321,7 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
     """
     buckets = partitions(rows)
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
             found = arrays(part.column(3), FOUND_KINDS)
@@ -386,6 +391,7 @@ def resolved(sent: DataFrame, resolve: Callable) -> DataFrame:
     """
     buckets = partitions(sent)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, fixed, places, data = [], [], [], []
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import slices
+from .common import lean, slices
 from .passages import Texts, Words
 
 WINDOW, GRAM = 13, 6
@@ -148,6 +148,7 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     joined = passages.with_found(rows, removed)
     schema = f"id {kind}, rest {joined.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", passages.SLICE):
             words = Words(Texts(part.column(2)))

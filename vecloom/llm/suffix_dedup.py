@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import slices
+from .common import lean, slices
 from .passages import Bytes, Texts, powers
 
 WINDOW, GRAM = 200, 32
 #: Bytes of contexts that are sorted together, or one group.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 
 
 class Suffixes:
@@ -233,6 +233,7 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     joined = passages.with_found(rows, removed)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, stops array<long>, kept binary" * keep_bytes
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", passages.SLICE):
             found = passages.arrays(part.column(3), passages.SPAN_KINDS)
