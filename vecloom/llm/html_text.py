@@ -3,7 +3,7 @@
 A page is cut at block-level tags into a flat list of text blocks. Each has its word
 count and link density, those of the blocks before and after it, whether it stands in a
 container that is boilerplate by its tag, class, id or role, whether it stands in an
-article, and whether it is a heading. A decision tree, trained here on the small table
+article or outside the page's articles, and whether it is a heading. A decision tree, trained here on the small table
 ``LABELLED``, says which blocks are main text.
 
 Defined cases: a null or empty page has empty text; white space (of Unicode, so with
@@ -60,7 +60,8 @@ class Block(NamedTuple):
     heading: bool
 
 
-#: Words, link density; the same of the block before and after; in boilerplate, in an article, heading; main text or not.
+#: Words, link density; the same of the block before and after; in boilerplate; 1 in an article, -1 outside those
+#: of the page, 0 where it has none; heading; main text or not.
 LABELLED = [
     # paragraphs of articles, long and short, with and without links, and headings
     (120, 0.00, 80, 0.00, 95, 0.00, 0, 1, 0, 1),
@@ -88,6 +89,16 @@ LABELLED = [
     (90, 0.00, 90, 0.00, 90, 0.00, 1, 1, 0, 0),
     (15, 0.90, 1, 1.00, 30, 0.00, 1, 0, 0, 0),
     (1, 0.00, 0, 0.00, 1, 0.00, 1, 1, 0, 0),
+    (9, 0.00, 1, 1.00, 8, 0.00, 1, -1, 0, 0),
+    (1, 1.00, 1, 1.00, 1, 1.00, 1, -1, 0, 0),
+    (70, 0.00, 90, 0.00, 60, 0.00, 1, -1, 0, 0),
+    # text beside the articles of a page
+    (60, 0.00, 80, 0.00, 40, 0.00, 0, -1, 0, 0),
+    (4, 0.00, 90, 0.00, 3, 1.00, 0, -1, 0, 0),
+    (1, 0.00, 1, 0.00, 0, 0.00, 0, -1, 0, 0),
+    (5, 1.00, 4, 1.00, 9, 0.00, 0, -1, 0, 0),
+    (3, 0.00, 2, 1.00, 60, 0.00, 0, -1, 1, 0),
+    (25, 0.10, 6, 0.00, 30, 0.00, 0, -1, 0, 0),
     # pages without an article: long runs of text
     (110, 0.00, 90, 0.00, 70, 0.00, 0, 0, 0, 1),
     (55, 0.08, 100, 0.00, 40, 0.05, 0, 0, 0, 1),
@@ -95,6 +106,13 @@ LABELLED = [
     (24, 0.00, 3, 0.00, 80, 0.00, 0, 0, 0, 1),
     (40, 0.20, 5, 1.00, 6, 0.00, 0, 0, 0, 1),
     (11, 0.00, 70, 0.00, 85, 0.00, 0, 0, 0, 1),
+    (22, 0.00, 2, 0.00, 22, 0.00, 0, 0, 0, 1),
+    (20, 0.00, 22, 0.00, 2, 1.00, 0, 0, 0, 1),
+    (18, 0.10, 25, 0.00, 20, 0.00, 0, 0, 0, 1),
+    (15, 0.00, 15, 0.00, 15, 0.00, 0, 0, 0, 1),
+    (17, 0.20, 1, 1.00, 3, 0.00, 0, 0, 0, 1),
+    (2, 0.00, 1, 1.00, 22, 0.00, 0, 0, 1, 1),
+    (6, 0.00, 15, 0.00, 18, 0.00, 0, 0, 1, 1),
     (6, 0.00, 50, 0.05, 60, 0.00, 0, 0, 0, 1),
     (8, 0.00, 4, 0.50, 90, 0.00, 0, 0, 1, 1),
     (3, 0.00, 60, 0.00, 45, 0.00, 0, 0, 1, 1),
@@ -112,6 +130,12 @@ LABELLED = [
     (4, 0.60, 80, 0.00, 2, 1.00, 0, 0, 0, 0),
     (3, 1.00, 3, 1.00, 40, 0.00, 0, 0, 0, 0),
     (2, 0.00, 1, 1.00, 3, 0.50, 0, 0, 1, 0),
+    (2, 1.00, 80, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (3, 1.00, 22, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (5, 0.90, 60, 0.00, 30, 0.00, 0, 0, 0, 0),
+    (12, 0.80, 40, 0.10, 50, 0.00, 0, 0, 0, 0),
+    (3, 0.00, 50, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (5, 0.00, 90, 0.00, 0, 0.00, 0, 0, 0, 0),
 ]
 
 
@@ -216,6 +240,8 @@ def blocks(page: str) -> list[Block]:
                 heading = False
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if tag not in BLOCKS:
+                        cut()
                     del stack[i:]
                     break
                 if stack[i][0] in MAIN_TAGS and tag not in ("body", "html"):
@@ -245,9 +271,10 @@ def extract(page: str | None) -> str:
     found = blocks(page) if page else []
     none = Block("", 0, 0, False, False, False)
     rule, kept = tree(), []
+    beside = -1 if any(b.main and not b.boilerplate for b in found) else 0
     for before, b, after in zip([none, *found], found, [*found[1:], none]):
         near = [x for n in (b, before, after) for x in (n.words, n.linked / n.words if n.words else 0.0)]
-        if rule.predict((*near, b.boilerplate, b.main, b.heading)):
+        if rule.predict((*near, b.boilerplate, 1 if b.main else beside, b.heading)):
             kept.append(b.text)
     return "\n\n".join(kept)
 

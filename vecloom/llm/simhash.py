@@ -10,9 +10,9 @@ groups are compared by shifted columns, large ones by a search that takes linked
 members out as it meets them, and a task returns a spanning forest of its links.
 
 Fingerprints of several times 64 bits (tables) take further bits from each hash mixed
-anew. Cut into three segments a table, they are compared in the same way: pairs that
-differ in fewer bits than twice the number of segments are found for certain, others with the
-chance that one of the segments differs in at most one bit (``miss_chance``).
+anew, and are cut into more segments. Pairs that differ in fewer bits than twice the
+number of segments are found for certain, others with the chance that one of the segments
+differs in at most one bit (``miss_chance``).
 
 Defined cases: a null or empty text has no shingles and fingerprint 0, and is linked to
 its like as any other; a text of fewer words than a shingle is one shingle; rows with
@@ -37,12 +37,14 @@ from .components import components
 
 FIND = re.compile(WORD).findall
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-SEED, BITS, SEGMENTS = 42, 64, 3
+SEED, BITS = 42, 64
+#: Segments of a fingerprint by its tables: of 21 bits, so that four differing bits leave
+#: one that differs in at most one, and of 18 bits.
+SEGMENTS = {1: 3, 2: 7}
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 #: Members of a key up to which they are compared by shifted columns.
 SMALL = 32
-_ENDS = [round(i * BITS / SEGMENTS) for i in range(SEGMENTS + 1)]
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -67,8 +69,8 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
 
 def miss_chance(similarity: float, tables: int) -> float:
     """Chance that no segment of texts of a Jaccard similarity differs in at most one bit."""
-    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, BITS / SEGMENTS
-    return (1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1)) ** (SEGMENTS * tables)
+    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, BITS * tables / SEGMENTS[tables]
+    return (1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1)) ** SEGMENTS[tables]
 
 
 def bits_apart(similarity: float, tables: int) -> int:
@@ -107,13 +109,19 @@ def fingerprints(docs: DataFrame, width: int, tables: int = 1, id_col: str = "do
     return rows.mapInArrow(run, "id long" + "".join(f", {f} long" for f in fps))
 
 
-def variant_keys(fps: np.ndarray, table: int) -> Iterator[np.ndarray]:
-    """One key a fingerprint for each bit: its segment without that bit, and which bit of which table."""
-    for low, high in zip(_ENDS, _ENDS[1:]):
-        mask = np.uint64((1 << high) - (1 << low))
-        for bit in range(low, high):
-            segment = (fps & (mask & ~np.uint64(1 << bit))) >> np.uint64(low)
-            yield (segment | np.uint64(table * BITS + bit << 32)).view(np.int64)
+def variant_keys(fps: np.ndarray) -> Iterator[np.ndarray]:
+    """One key a fingerprint for each bit: its segment without that bit, and which bit; fps by (fingerprint, table)."""
+    tables = fps.shape[1]
+    segments = SEGMENTS[tables]
+    ends = [round(i * BITS * tables / segments) for i in range(segments + 1)]
+    for low, high in zip(ends, ends[1:]):
+        word, shift = divmod(low, BITS)
+        value = fps[:, word] >> np.uint64(shift)
+        if shift + high - low > BITS:
+            value = value | fps[:, word + 1] << np.uint64(BITS - shift)
+        value = value & np.uint64((1 << (high - low)) - 1)
+        for bit in range(high - low):
+            yield (value & ~np.uint64(1 << bit) | np.uint64(low + bit << 32)).view(np.int64)
 
 
 def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -179,7 +187,7 @@ def links(distinct: DataFrame, tables: int = 1, most: int = 4) -> DataFrame:
         for part in batches:
             for i in range(0, part.num_rows, 2000):
                 cut = [c.to_numpy() for c in part.slice(i, 2000).columns]
-                keys = np.concatenate([k for t in range(tables) for k in variant_keys(cut[t].view(np.uint64), t)])
+                keys = np.concatenate([*variant_keys(np.stack(cut[:tables], axis=1).view(np.uint64))])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(c, BITS * tables)) for c in cut)], columns)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
