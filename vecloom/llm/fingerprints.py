@@ -28,6 +28,8 @@ from .common import SPACE
 
 #: Words in a shingle, and one of how many hashes is kept.
 WORDS, SCALED = 5, 8
+#: Quantiles of the ids that their spans follow.
+QUANTILES = 64
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -81,20 +83,33 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_span: int = 2000) -> DataFrame:
     """(id, text, sketch, next_text, next_sketch), next by descending id; after the last comes the first.
 
-    Ids are dealt into even spans and followed inside each; the text is shuffled once.
-    The last row of each span is sent on to the span above it.
+    Ids are dealt into spans: between approximate quantiles, so that far ids don't crowd
+    the others, and evenly inside those. They are followed inside each span, and the
+    text is shuffled once. The last row of each span is sent on to the span above it.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    spans = max(1, n // per_span)
+    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
+    marks, n = docs.agg(F.percentile_approx(id_col, shares, 10_000), F.count(F.lit(1))).first()
+    marks = sorted({float(m) for m in marks or []})
+    inside = max(1, n // (per_span * QUANTILES))
     # As doubles, which the whole range of long ids fits; spans need only keep the order.
-    width = max(1.0, (float(high) - float(low)) / spans) if low is not None else 1.0
-    span = F.coalesce(F.floor((F.col(id_col).cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(-1)).cast("long")
+    number = F.col(id_col).cast("double")
+    if len(marks) > 1 and n > per_span:
+        bounds = F.array(*map(F.lit, marks))
+        part = F.least(F.size(F.filter(bounds, lambda m: m <= number)), F.lit(len(marks) - 1))
+        low, high = F.get(bounds, F.greatest(part - 1, F.lit(0))), F.get(bounds, F.greatest(part, F.lit(1)))
+        place = F.least(F.greatest(F.floor((number - low) / (high - low) * inside), F.lit(0)), F.lit(inside - 1))
+        span = F.coalesce(part * inside + place, F.lit(-1)).cast("long")
+    else:
+        span = F.lit(0).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), span.alias("span")).repartition("span")
     order = Window.partitionBy("span").orderBy(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    # A row for each span: to which span its last row goes.
-    every = docs.select(span.alias("span")).distinct()
-    one = Window.partitionBy(F.lit(0))
-    above = every.select("span", F.coalesce(F.lead("span").over(one.orderBy("span")), F.min("span").over(one)).alias("to"))
+    # To which span each span's last row goes: the next between its quantiles, else the first of the next ones.
+    every = docs.select(span.alias("span")).distinct().withColumn("part", F.floor(F.col("span") / inside))
+    one = Window.partitionBy(F.lit(0))  # a row for each quantile
+    firsts = every.groupBy("part").agg(F.min("span").alias("first"))
+    firsts = firsts.select("part", F.coalesce(F.lead("first").over(one.orderBy("first")), F.min("first").over(one)).alias("beyond"))
+    above = every.withColumn("to", F.lead("span").over(Window.partitionBy("part").orderBy("span"))).join(firsts, "part")
+    above = above.select("span", F.coalesce("to", "beyond").alias("to"))
     ends = rows.withColumn("below", F.lead("span").over(order)).filter(F.col("below").isNull()).join(above, "span")
     ends = ends.select(F.col("to").alias("span"), F.struct("text", sketch(F.col("text")).alias("sketch")).alias("end"))
     follow = rows.withColumn("sketch", sketch(F.col("text"))).withColumn("next", F.lag(F.struct("text", "sketch")).over(order))
