@@ -36,11 +36,11 @@ def stride_of(n: int, cap: int, sampling: str = "even") -> int:
 
 
 def stride_sample(vectors: DataFrame, cap: int, sampling: str = "even", n: int | None = None, id_col: str = "vec_id") -> DataFrame:
-    """Vectors at every step of dense ids, the lowest ``cap`` of them."""
+    """Vectors at every step of dense ids (0 to n - 1), the lowest ``cap`` of them: a filter, which reaches the scan."""
     count_parameter("cap", cap)
     n = vectors.count() if n is None else n
-    chosen = vectors.filter(F.col(id_col) % stride_of(n, cap, sampling) == 0)
-    return chosen.orderBy(id_col).limit(cap)
+    step = stride_of(n, cap, sampling)
+    return vectors.filter((F.col(id_col) % step == 0) & (F.col(id_col) < step * cap))
 
 
 def seed_centroids(sample: DataFrame, nlist: int, seed: int | None = 42, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -120,13 +120,20 @@ def sums(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec:
         if own.size:
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(sse[own]), pa.array(list(total[own]), pa.list_(pa.float64()))], ["list_id", "n", "sse", "total"])
 
-    part = vectors.select(F.col(vec).cast("array<float>").alias("v")).mapInArrow(run, "list_id int, n long, sse double, total array<double>")
-    added = F.array(*(F.sum(F.get("total", F.lit(i))) for i in range(dim))) if dim <= 64 else None
-    if added is not None:
-        return part.groupBy("list_id").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), added.alias("total"))
-    values = part.select("list_id", F.posexplode("total").alias("pos", "x")).groupBy("list_id", "pos").agg(F.sum("x").alias("x"))
-    together = values.groupBy("list_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("total"))
-    return part.groupBy("list_id").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse")).join(together, "list_id")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [*batches]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        own, at = np.unique(t["list_id"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(own), dim))
+        np.add.at(total, at, t["total"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        n, sse = np.zeros(len(own), np.int64), np.bincount(at, t["sse"].to_numpy())
+        np.add.at(n, at, t["n"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(sse), pa.array(list(total), pa.list_(pa.float64()))], t.schema.names)
+
+    schema = "list_id int, n long, sse double, total array<double>"
+    return vectors.select(F.col(vec).cast("array<float>").alias("v")).mapInArrow(run, schema).repartition("list_id").mapInArrow(add, schema)
 
 
 def train(vectors: DataFrame, nlist: int, sample_cap: int = 0, iters: int = 10, seed: int = 42, sampling: str = "even", id_col: str = "vec_id", vec: str = "embedding") -> tuple[np.ndarray, list[float]]:
