@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "/tmp/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
