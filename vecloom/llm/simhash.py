@@ -73,9 +73,10 @@ def miss_chance(similarity: float, tables: int) -> float:
     return (1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1)) ** SEGMENTS[tables]
 
 
-def bits_apart(similarity: float, tables: int) -> int:
-    """Differing bits to expect, rounded down, of texts of a Jaccard similarity."""
-    return int(BITS * tables * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def bits_apart(similarity: float, tables: int, allowance: float = 0.0) -> int:
+    """Differing bits to expect, rounded down, of texts of a Jaccard similarity; and so many of their standard deviations more."""
+    n, p = BITS * tables, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(n * p + allowance * math.sqrt(n * p * (1 - p)))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -223,14 +224,15 @@ def near_duplicate_ids(docs: DataFrame, width: int = 4, most: int = 4) -> DataFr
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def without_copies(docs: DataFrame, width: int = 5, tables: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, width: int = 5, tables: int = 2, similarity: float = 0.8, allowance: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest id.
 
     Similarity is what the fingerprint estimates: the share of differing bits is the
-    angle between two texts' shingle vectors. Equal rows of one id count as one document;
+    angle between two texts' shingle vectors. The estimate has a spread, and allowance is how
+    much of it a pair may lie below the similarity, so that most at it are found. Equal rows of one id count as one document;
     rows without an id stay.
     """
-    near = near_duplicates(docs, width, tables, bits_apart(similarity, tables), id_col, text_col)
+    near = near_duplicates(docs, width, tables, bits_apart(similarity, tables, allowance), id_col, text_col)
     near = materialize(near)
     dropped = near.filter("id <> component").select(F.col("id").alias("__dropped")).distinct()
     kept = docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
