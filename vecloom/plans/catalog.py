@@ -198,6 +198,18 @@ def cache_policy_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.simulate(page_access_trace(spark, sf_dir), frames=[16, 64, 256])
 
 
+def open_page_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.open_trace(start_index(vectors(spark, sf_dir)))
+
+
+def scatter_page_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.scatter_trace(start_index(vectors(spark, sf_dir))).select("seq", "page")
+
+
+def scatter_policy_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.simulate(cache.scatter_trace(start_index(vectors(spark, sf_dir))), frames=[8, 64])
+
+
 def cache_lru_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.lru_hits(page_access_trace(spark, sf_dir), 64)
 
@@ -222,7 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_topk_single, exact_topk_batch, knn_self_join, pairwise_l2sq, point_lookup, stride_sample, vector_norms, normalize_vectors, dataset_stats,
         dim_histogram, seed_centroids, assign_nearest, list_counts, kmeans_update_step, kmeans_mse, layout_extents, posting_slots, coarse_probe,
         ivf_search_batch, ivf_search_expression, ivf_full_probe_equals_exact, recall_at_k, recall_by_nprobe, scan_fraction, page_access_trace,
-        trace_disk_mib, latency_p95_lower_rank, cache_policy_sim, cache_lru_exact, datagen_clustered, query_workload, mllib_ivf_search,
+        trace_disk_mib, latency_p95_lower_rank, cache_policy_sim, open_page_trace, scatter_page_trace, scatter_policy_sim, cache_lru_exact, datagen_clustered, query_workload, mllib_ivf_search,
     )
 }
 
@@ -278,6 +290,8 @@ ORACLE_SQL: dict[str, str] = {
     "recall_by_nprobe": f"{_WITH}, every AS (SELECT nprobe, query_id, vec_id FROM s, (SELECT unnest({list(PROBES)})::BIGINT AS nprobe) WHERE probe_rank <= nprobe QUALIFY row_number() OVER (PARTITION BY nprobe, query_id ORDER BY dist, vec_id) <= {K}) SELECT nprobe, count(t.vec_id)::BIGINT AS hits, (SELECT count(*) FROM t)::BIGINT AS total, round(count(t.vec_id) / (SELECT count(*) FROM t), 6) AS recall FROM every LEFT JOIN t ON t.query_id = every.query_id AND t.vec_id = every.vec_id GROUP BY nprobe",
     "scan_fraction": f"{_WITH} SELECT query_id, sum(count)::BIGINT AS candidates, round(sum(count) / (SELECT n FROM n), 6) AS fraction FROM p JOIN l USING (list_id) WHERE probe_rank <= {NPROBE} GROUP BY query_id",
     "page_access_trace": f"{_WITH} SELECT * FROM trace",
+    "open_page_trace": f"{_WITH} SELECT seq, -1::BIGINT AS query_id, (CASE WHEN seq = 0 THEN 0 ELSE 1 + (nlist + {_L.centroids_per_page - 1}) // {_L.centroids_per_page} + (seq - 1) // {_L.extents_per_page} END)::BIGINT AS page, 0::BIGINT AS readahead FROM (SELECT nlist, unnest(range(nlist + 1))::BIGINT AS seq FROM n)",
+    "scatter_page_trace": f"{_WITH}, o AS (SELECT list_id, vec_id, row_number() OVER (PARTITION BY list_id ORDER BY vec_id) - 1 AS slot FROM a) SELECT vec_id AS seq, (start_page + slot // {_L.entries_per_page})::BIGINT AS page FROM o JOIN x USING (list_id)",
     "trace_disk_mib": f"{_WITH} SELECT query_id, count(*)::BIGINT AS pages, round(count(*) * 4096 / (1024.0::DOUBLE * 1024.0::DOUBLE), 6) AS mib FROM trace GROUP BY query_id",
     "latency_p95_lower_rank": f"WITH m AS (SELECT unnest({LATENCIES})::DOUBLE AS ms) SELECT round(avg(ms), 6) AS mean_ms, list_sort(list(ms))[1 + floor(0.95::DOUBLE * (count(*) - 1))::BIGINT] AS p95_ms FROM m",
     "cache_lru_exact": f"{_WITH}, b AS (SELECT seq, page, lag(seq) OVER (PARTITION BY page ORDER BY seq) AS before, lead(seq) OVER (PARTITION BY page ORDER BY seq) AS later FROM trace), h AS (SELECT a.seq, count(o.seq) AS between_ FROM b a LEFT JOIN b o ON o.seq > a.before AND o.seq < a.seq AND (o.later IS NULL OR o.later > a.seq) WHERE a.before IS NOT NULL GROUP BY a.seq) SELECT count(*) FILTER (between_ < 64)::BIGINT AS hits, ((SELECT count(*) FROM trace) - count(*) FILTER (between_ < 64))::BIGINT AS misses FROM h",
