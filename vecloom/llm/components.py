@@ -16,16 +16,27 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(w, m) for edges (n, w) and least (u, m) where n is u.
+
+    Keys are cast, so that both sides are shuffled for the join: Spark splits a
+    partition only then, and a node with very many neighbours makes a large one.
+    """
+    key = lambda c: F.col(c).cast("decimal(20,0)")
+    left = edges.select(key("n").alias("k"), "w")
+    return left.join(least.select(key("u").alias("k"), "m"), "k").select("w", "m")
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """edges (u, v) with u > v."""
     if small:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        hung = _joined(edges.select(F.col("u").alias("n"), F.col("v").alias("w")), least).union(least)
     else:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        hung = edges.select(F.col("v").alias("n"), F.col("u").alias("w")).join(least, F.col("n") == F.col("u")).select(F.col("w").alias("u"), F.col("m").alias("v"))
-    return hung.filter("u > v").distinct()
+        hung = _joined(edges.select(F.col("v").alias("n"), F.col("u").alias("w")), least)
+    return hung.toDF("u", "v").filter("u > v").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
