@@ -80,7 +80,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, sketch(F.col(text_col)).alias("sketch"))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_span: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_span: int = 500) -> DataFrame:
     """(id, text, sketch, next_text, next_sketch), next by descending id; after the last comes the first.
 
     Ids are dealt into spans: between approximate quantiles, so that far ids don't crowd
