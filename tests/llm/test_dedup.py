@@ -162,3 +162,14 @@ def test_packing():
     columns = [np.arange(-5, 70_000), np.zeros(0, np.uint64), np.arange(9, dtype="<u4"), np.frombuffer(b"bytes", np.uint8)]
     back = passages.unpack(passages.pack(columns), ["<i8", "<u8", "<u4", np.uint8])
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(columns, back))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_frequent_anchors_are_dealt_by_window(spark, seed, monkeypatch):
+    monkeypatch.setattr(passages, "LEAST_HOT", 2)
+    rows = spliced(seed, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keyed = passages.keyed(docs, "doc_id", "text")
+    _, hot = passages.shared(keyed, passages.Words, 13, 6, passages.hot_from(keyed))
+    assert hot.size > 100
+    same(substrings.remove(docs, keep_text=False), brute_words(rows, 13))

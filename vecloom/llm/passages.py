@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import lean, slices, small_batches
+from .common import lean, materialize, slices, small_batches
 
 #: UTF-8 bytes of text whose units are hashed at once.
 SLICE = 3 << 19
+#: A hash that fewer slices have is never frequent.
+LEAST_HOT = 200
 BASE = 0x9E3779B97F4A7C15
 MIXER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -153,8 +155,8 @@ class Anchors:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(key, id, text) and, if given, rest: key is the id where an id has one text only, else a hash of both."""
-    several = docs.groupBy(id_col).agg((F.min(F.xxhash64(text_col)) != F.max(F.xxhash64(text_col))).alias("d"), F.count(F.lit(1)).alias("n"), F.count(text_col).alias("t"))
-    several = several.filter("d or (n <> t and t > 0)").limit(1).count() > 0
+    by_id = docs.groupBy(id_col).agg((F.min(F.xxhash64(text_col)) != F.max(F.xxhash64(text_col))).alias("d"), F.count(F.lit(1)).alias("n"), F.count(text_col).alias("t"))
+    several = by_id.filter("d or (n <> t and t > 0)").limit(1).count() > 0
     small_batches(docs.sparkSession)
     number = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     key = F.xxhash64(id_col, text_col) if several else number
@@ -227,10 +229,18 @@ def by_key(sent: DataFrame, names: list[str], kinds: list) -> DataFrame:
 FOUND, FOUND_KINDS = ["place", "before", "after"], ["<u4", np.uint8, np.uint8]
 
 
-def shared(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
-    """(key, FOUND): anchors with a hash that occurs more than once.
+def hot_from(rows: DataFrame) -> int:
+    """In how many slices a hash is frequent: in one of a hundred, so that all tasks can be told the frequent ones."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST_HOT, size // SLICE // 100)
+
+
+def shared(rows: DataFrame, unit: type, size: int, gram: int, frequent: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(key, FOUND), anchors with a hash that occurs more than once; and the hashes that ``frequent`` slices or more have.
 
     place: where the anchor is; before, after: from its first and its last window to it.
+    A slice has at most SLICE hashes, so where frequent is a share of the slices, the
+    frequent hashes are at most SLICE times its inverse.
     """
     buckets = partitions(rows)
     OPEN, KNOWN, SIGN = range(3)
@@ -282,6 +292,11 @@ def shared(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
             twin = np.zeros(len(order), bool)
             twin[1:] = sorted_[1:] == sorted_[:-1]
             twin[:-1] |= twin[1:]
+            if frequent:
+                starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                hot = sorted_[starts[np.diff(np.r_[starts, len(sorted_)]) >= frequent]]
+                if hot.size:
+                    yield packed_rows([(0, 1, pack([hot]))])
             at = np.sort(order[twin])
             at = at[at < len(own)]
             found.append([keys[at], *(c[at] for c in columns)])
@@ -291,8 +306,13 @@ def shared(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
             if len(keys):
                 yield packed_rows([*dealt(bucket_of(keys, buckets), 0, [keys, *columns])])
 
-    sent = rows.select("key", "text").mapInArrow(find, PACKED).repartitionById(buckets, "bucket")
-    return by_key(sent.mapInArrow(agree, PACKED), FOUND, FOUND_KINDS)
+    agreed = rows.select("key", "text").mapInArrow(find, PACKED).repartitionById(buckets, "bucket").mapInArrow(agree, PACKED)
+    hot = np.zeros(0, np.uint64)
+    if frequent:
+        agreed = materialize(agreed)
+        found = [unpack(bytes(r["packed"]), ["<u8"])[0] for r in agreed.filter("kind = 1").collect()]
+        hot = np.sort(np.concatenate([hot, *found]))
+    return by_key(agreed.filter("kind = 0"), FOUND, FOUND_KINDS), hot
 
 
 def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -312,9 +332,12 @@ CONTEXT_KINDS = ["<u8", "<i4", "<i4", "<i8", "<i8", "<i4", "<i4"]
 SPANS, SPAN_KINDS = ["starts", "stops"], ["<u4", "<u4"]
 
 
-def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int, settle: Callable) -> DataFrame:
+def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int, settle: Callable, hot: np.ndarray) -> DataFrame:
     """PACKED contexts of shared anchors by route, and spans that are decided already by key.
 
+    Windows of the anchors with the hashes ``hot`` become contexts of their own, each
+    with its own route, so that only equal windows meet and a frequent anchor gathers nothing.
+
     settle(ids, members) of the equal contexts in a slice says which of them are
     decided (their windows are all to be removed) and which are sent. Where none is sent
     one stands for all, without starts of its own.
@@ -339,8 +362,18 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
                     before.append(f[1][index].astype(np.int64))
                     after.append(f[2][index].astype(np.int64))
             row, at, b, a = map(np.concatenate, (rows, place, before, after))
+            alone = np.zeros(len(at), bool)
+            if frequent.value.size:
+                anchors = Anchors(units, size, gram)
+                alone = np.isin(anchors.hash[np.searchsorted(anchors.place, at)], frequent.value)
+                times = np.where(alone, b - a + 1, 1)
+                step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                row, at, b, a, alone = (np.repeat(c, times) for c in (row, at, b, a, alone))
+                b = b - np.where(alone, step, 0)
+                a = np.where(alone, b, a)
             texts = units.cut(at - b, at - a + size)
-            routes = [xxhash.xxh3_64_intdigest(t) for t in units.cut(at, at + gram)]
+            grams = units.cut(np.where(alone, at - b, at), np.where(alone, at - b + size, at + gram))
+            routes = [xxhash.xxh3_64_intdigest(t) for t in grams]
             groups: dict[bytes, list[int]] = {}
             for i, t in enumerate(texts):
                 groups.setdefault(t, []).append(i)
@@ -379,6 +412,7 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
                 out += dealt(bucket_of(keys[row[d]], buckets), 1, [keys[row[d]], begin[d].astype("<u4"), (begin + b - a + size)[d].astype("<u4")])
             yield packed_rows(out)
 
+    frequent = rows.sparkSession.sparkContext.broadcast(hot)
     joined = with_found(rows, found).select("key", F.col("id").cast("long").alias("id"), "text", "found")
     return joined.mapInArrow(cut, PACKED)
 

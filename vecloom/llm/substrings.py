@@ -7,7 +7,8 @@ meet in one shard. A shard goes through its documents by id: each context is str
 through the suffix automaton of all smaller documents' contexts, whose matching
 statistics are the longest match that ends at each word; where they reach 13, the
 maximal span is removed. Then the context joins the automaton, unless all of it was
-there. Automata are of one anchor each, never broadcast, and compare words, not hashes.
+there. Automata are of one anchor each, never broadcast, and compare words, not hashes. Windows of
+an anchor that very many slices of texts have are dealt one by one.
 
 Defined cases: a null or empty text has no words; a null id is greater than every other
 and never smaller than another null; rows of equal id and text are one document; words
@@ -142,8 +143,8 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     rest = F.struct(*others) if others else F.lit(None).cast("struct<x:int>")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = passages.keyed(docs, id_col, text_col, rest)
-    found = passages.shared(rows, Words, size, GRAM)
-    sent = passages.contexts(rows, found, Words, size, GRAM, _settle)
+    found, hot = passages.shared(rows, Words, size, GRAM, passages.hot_from(rows))
+    sent = passages.contexts(rows, found, Words, size, GRAM, _settle, hot)
     removed = passages.resolved(sent, _resolve(size))
     joined = passages.with_found(rows, removed)
     schema = f"id {kind}, rest {joined.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text

@@ -227,8 +227,8 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = passages.keyed(docs, id_col, text_col)
-    found = passages.shared(rows, Bytes, size, GRAM)
-    sent = passages.contexts(rows, found, Bytes, size, GRAM, _settle)
+    found, hot = passages.shared(rows, Bytes, size, GRAM)
+    sent = passages.contexts(rows, found, Bytes, size, GRAM, _settle, hot)
     removed = passages.resolved(sent, _resolve(size))
     joined = passages.with_found(rows, removed)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, stops array<long>, kept binary" * keep_bytes
