@@ -64,13 +64,6 @@ class RawReader(DataSourceReader):
         self.path = path
         self.only: int | None = None
 
-    def pushFilters(self, filters):  # noqa: N802
-        """An equality on the id is looked up by its place."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("vec_id",) and self.only is None:
-                self.only = f.value
-        yield from filters
-
     def partitions(self) -> list[Rows]:
         found, first, dims = [], 0, set()
         for path in files(self.path):
@@ -101,6 +94,17 @@ class RawReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["vec_id", "embedding"])
 
 
+class LookupReader(RawReader):
+    """The same with pushdown, which a session has to allow."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        """An equality on the id is looked up by its place."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("vec_id",) and self.only is None:
+                self.only = f.value
+        yield from filters
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str
@@ -153,7 +157,7 @@ class RawVec(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> RawReader:
-        return RawReader(self.options["path"])
+        return (LookupReader if self.options.get("lookup") == "true" else RawReader)(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> RawWriter:
         return RawWriter(self.options["path"], overwrite)
@@ -161,7 +165,8 @@ class RawVec(DataSource):
 
 def read_rawvec(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(RawVec)
-    return spark.read.format("rawvec").load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("rawvec").option("lookup", "true").load(path)
 
 
 def write_rawvec(vectors: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None, id_col: str = "vec_id", vec: str = "embedding") -> None:
