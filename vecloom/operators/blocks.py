@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +21,21 @@ def in_blocks(queries: DataFrame, dim: int, work: Callable[[np.ndarray, np.ndarr
     hash of their id into blocks of about half of ``sent`` bytes, and a block that is still too
     large (ids that repeat) raises.
     """
-    n = queries.count()
     per = max(1, sent // (4 * max(dim, 1) + 8))
-    blocks = max(1, -(-2 * n // per)) if n > per else 1
+    rows = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vec).cast("array<float>").alias("v"))
+
+    def part(table: pa.Table) -> DataFrame:
+        return work(table["i"].to_numpy(), table["v"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, dim))
+
+    first = rows.limit(per + 1).toArrow()
+    if first.num_rows <= per:
+        return part(first) if first.num_rows else None
+    blocks = -(-2 * queries.count() // per)
     parts = []
-    for b in range(blocks if n else 0):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        table = own.select(F.col(id_col).cast("long").alias("i"), F.col(vec).cast("array<float>").alias("v")).limit(per + 1).toArrow()
+    for b in range(blocks):
+        table = rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).limit(per + 1).toArrow()
         if table.num_rows > per:
             raise ValueError("too many queries have one id")
-        if not table.num_rows:
-            continue
-        ids = table["i"].to_numpy()
-        vectors = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
-        parts.append(work(ids, vectors))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+        if table.num_rows:
+            parts.append(part(table))
+    return reduce(DataFrame.unionByName, parts)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +36,11 @@ class Index:
     lists: DataFrame
     postings: DataFrame
 
+    @cached_property
+    def centroid_array(self) -> np.ndarray:
+        """Centroids by list id, read once."""
+        return kmeans.centroid_matrix(self.centroids)
+
 
 def extents(counts: DataFrame, layout: Layout) -> DataFrame:
     """(list_id, count, list_pages, start_page): where each list's pages begin. One row for each list."""
@@ -54,7 +60,9 @@ def in_memory(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id",
     postings = assigned.select(F.lit(0).alias("list_bucket"), "list_id", "vec_id", "embedding")
     counts = kmeans.list_counts(kmeans.assign(vectors, centroids, id_col, vec, keep_vector=False), len(centroids))
     lists = extents(counts, Layout(centroids.shape[1], len(centroids)))
-    return Index(centroids.shape[1], len(centroids), vectors.count(), len(centroids), kmeans.centroid_table(vectors.sparkSession, centroids), lists, postings)
+    built = Index(centroids.shape[1], len(centroids), vectors.count(), len(centroids), kmeans.centroid_table(vectors.sparkSession, centroids), lists, postings)
+    built.centroid_array = centroids
+    return built
 
 
 def build_index(vectors: DataFrame, path: str, nlist: int = 0, sample: int = 0, iters: int = 10, seed: int = 42, sampling: str = "even", trainer: str = "lloyd", id_col: str = "vec_id", vec: str = "embedding") -> Index:

@@ -18,7 +18,6 @@ from ..functions import kernels, l2sq
 from .blocks import in_blocks
 from .exact import _FOUND, RESULT, ranked
 from .index import Index
-from .kmeans import centroid_matrix
 from .validate import count_parameter, dimension
 
 
@@ -27,7 +26,7 @@ def coarse_probe(index: Index, queries: DataFrame, nprobe: int, query_id: str =
     count_parameter("nprobe", nprobe)
     dimension(queries, vec, index.dim)
     most = min(nprobe, index.nlist)
-    sent = queries.sparkSession.sparkContext.broadcast(centroid_matrix(index.centroids))
+    sent = queries.sparkSession.sparkContext.broadcast(index.centroid_array)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = sent.value
@@ -49,7 +48,7 @@ def ivf_search(index: Index, queries: DataFrame, k: int, nprobe: int, query_id:
     empty = session.createDataFrame([], RESULT)
     if not k or not nprobe:
         return empty
-    lists = centroid_matrix(index.centroids)
+    lists = index.centroid_array
     probed = min(nprobe, index.nlist)
 
     def work(ids: np.ndarray, points: np.ndarray) -> DataFrame:
