@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 #: Up to so many bytes are merged directly.
 LEAF = 48
@@ -139,6 +139,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """(id_col, n_tokens, ids_sha256, decoded_sha256) for each row of ``docs``, and with keep_ids the ids (array<int>)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(ranks_path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -17,6 +17,8 @@ from pyspark.sql.column import Column
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+#: Bytes of a row group in tables between steps.
+ROW_GROUP = 32 << 20
 #: UTF-8 bytes of text that a Python operator handles at once.
 SLICE_BYTES = 4 << 20
 
@@ -40,7 +42,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage. The table goes when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)  # a writer holds a row group
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -214,6 +214,7 @@ def fit(docs: DataFrame, vocabulary_path: str, docs_per_language: int = DOCS_PER
         for _ in range(rounds + 1):
             now = probabilities
 
+            @lean
             def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = Pieces.from_sentencepiece(vocabulary_path)
                 for part in slices(batches, "text"):
@@ -247,6 +248,7 @@ def predict(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probabilities = shared.value
         scorer = Scorer(Pieces.from_sentencepiece(vocabulary_path), probabilities)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, SIDE, LOW = 64, 32, 8
@@ -148,6 +148,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", *(f.split()[0] for f in FIELDS.split(", ")), *["media"] * keep_media]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64() if " long" in f else pa.string() for f in FIELDS.split(", ")] + [pa.binary()] * keep_media
         for part in slices(batches, "text"):

@@ -31,7 +31,7 @@ from pyspark.sql.column import Column
 from .common import lean, materialize, slices, small_batches
 
 #: UTF-8 bytes of text whose units are hashed at once.
-SLICE = 3 << 19
+SLICE = 1 << 20
 #: A hash that fewer slices have is never frequent.
 LEAST_HOT = 200
 BASE = 0x9E3779B97F4A7C15

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, slices
+from .common import WORD, lean, materialize, slices
 from .components import components
 
 FIND = re.compile(WORD).findall
@@ -96,6 +96,7 @@ def fingerprints(docs: DataFrame, width: int, tables: int = 1, id_col: str = "do
     """(id, fp0, fp1, ...) for each row of ``docs``; 64 bits each, as signed longs."""
     fps = names(tables)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found: list[list[int]] = [[] for _ in fps]
@@ -184,6 +185,7 @@ def links(distinct: DataFrame, tables: int = 1, most: int = 4) -> DataFrame:
     fps = names(tables)
     columns = ["key", *fps, "id"]
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for i in range(0, part.num_rows, 2000):
@@ -191,6 +193,7 @@ def links(distinct: DataFrame, tables: int = 1, most: int = 4) -> DataFrame:
                 keys = np.concatenate([*variant_keys(np.stack(cut[:tables], axis=1).view(np.uint64))])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(c, BITS * tables)) for c in cut)], columns)
 
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [*batches]
         if not parts:

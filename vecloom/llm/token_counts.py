@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 #: Most pre-tokens a worker remembers; beyond it the dictionary starts anew, which only costs time.
 REMEMBERED = 300_000
@@ -79,6 +79,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """(id_col, n_bytes, n_tokens, over_limit) for each row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = counter(model_path)
         for part in slices(batches, "text"):
