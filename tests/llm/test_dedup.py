@@ -173,3 +173,18 @@ def test_frequent_anchors_are_dealt_by_window(spark, seed, monkeypatch):
     _, hot = passages.shared(keyed, passages.Words, 13, 6, passages.hot_from(keyed))
     assert hot.size > 100
     same(substrings.remove(docs, keep_text=False), brute_words(rows, 13))
+
+
+def test_covered_context_with_new_windows(spark):
+    """Document 3 is covered by windows of 1 and 2, but has the first of the window that is all of 4."""
+    import pyarrow as pa
+
+    for seed in range(1000):
+        w = [f"w{x}" for x in random.Random(seed).sample(range(10**6), 20)]
+        found = passages.Anchors(passages.Words(passages.Texts(pa.array([" ".join(w)]))), 13, 6)
+        if found.place.tolist() == [7]:
+            break
+    rows = [(i, " ".join(w[a:b])) for i, a, b in ((1, 0, 13), (2, 7, 20), (3, 0, 20), (4, 3, 16))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove(docs).collect()} == {1: 0, 2: 0, 3: 20, 4: 13}
+    same(substrings.remove(docs, keep_text=False), brute_words(rows, 13))

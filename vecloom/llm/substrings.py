@@ -6,8 +6,8 @@ starts in a document with a smaller id. Candidate windows come from shared ancho
 meet in one shard. A shard goes through its documents by id: each context is streamed
 through the suffix automaton of all smaller documents' contexts, whose matching
 statistics are the longest match that ends at each word; where they reach 13, the
-maximal span is removed. Then the context joins the automaton, unless all of it was
-there. Automata are of one anchor each, never broadcast, and compare words, not hashes. Windows of
+maximal span is removed. Then the context joins the automaton, unless every
+window of it was there. Automata are of one anchor each, never broadcast, and compare words, not hashes. Windows of
 an anchor that very many slices of texts have are dealt one by one.
 
 Defined cases: a null or empty text has no words; a null id is greater than every other
@@ -121,9 +121,10 @@ def _resolve(size: int):
                         shard.add(words)
                     waiting, now = [], ids[row]
                 words = contexts[row].split(b" ")
-                found = spans(shard.matches(words), size)
-                out += [(row, i, j) for i, j in found]
-                if found != [(0, len(words))]:
+                statistics = shard.matches(words)
+                out += [(row, i, j) for i, j in spans(statistics, size)]
+                # Spans that touch may cover all words though windows between them are new.
+                if any(n < size for n in statistics[size - 1 :]):
                     waiting.append(words)
             if len(out) > 50_000:
                 yield tuple(map(np.array, zip(*out)))
