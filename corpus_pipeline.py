@@ -5,9 +5,8 @@ kept; its result is written as Parquet to the shared folder and read again.
 
 * language: documents without letters, and those whose language is less than even odds,
   go. Labels are learned from the stage's own rows, from a sample of fixed size.
-* near_dedup: of each group of near copies the document of the smallest id stays. Shingles
-  of five words, fingerprints of 128 bits, and a similarity of 0.8 or more as they estimate
-  it, less three quarters of the estimate's standard deviation.
+* near_dedup: of each group of near copies the document of the smallest id stays. Near copies
+  have a Jaccard similarity of 0.8 or more of their sets of five-word shingles.
 * substring_dedup: words that a 13-word window of a smaller document covers go from the
   text, whose other words are then joined by spaces; n_chars follows. Documents left
   without a word go.
@@ -37,7 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.without_copies(docs, width=5, tables=2, similarity=0.8, allowance=0.75).select(*docs.columns)
+    return simhash.without_copies(docs, width=5, tables=2, similarity=0.8).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vecloom.llm import simhash
+from vecloom.llm import near_copies, simhash
 
 
 def brute_fingerprint(text, n):
@@ -123,3 +123,41 @@ def test_pairs_within_the_bound_share_a_key(tables):
             b[0, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
         keys = [{int(k[0]) for k in simhash.variant_keys(x)} for x in (a, b)]
         assert len(keys[0]) == bits and keys[0] & keys[1]
+
+
+def test_links_are_those_of_exact_jaccard(spark):
+    """Pairs all around 0.8: those that reach it lose the larger id, those below keep both, and chains are whole."""
+    rnd = random.Random(12)
+    rows, n = [], 0
+    for _ in range(80):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(40, 200))]
+        for _ in range(rnd.randint(2, 4)):
+            rows.append((n, " ".join(words)))
+            n += 1
+            words = list(words)
+            for _ in range(max(1, round(len(words) * rnd.uniform(0.01, 0.035)))):
+                words[rnd.randrange(len(words))] = f"w{rnd.randrange(10**6)}"
+    rnd.shuffle(rows)
+    sets = [(i, set(simhash.shingle_hashes(t, 5).tolist())) for i, t in rows]
+    root = {i: i for i, _ in sets}
+    near = below = 0
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            jaccard = len(a & b) / len(a | b)
+            near, below = near + (0.8 <= jaccard < 0.9), below + (0.65 <= jaccard < 0.8)
+            if jaccard >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    assert near > 30 and below > 30
+    kept = simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in root.items() if i == r}
+
+
+def test_candidates_are_hardly_missed():
+    assert near_copies.miss_chance(0.8, 2) < 1e-6
+    rng = np.random.default_rng(13)
+    for _ in range(100):
+        a = rng.integers(0, 2**63, 90).astype(np.uint64)
+        b = np.r_[a[:80], rng.integers(0, 2**63, 10).astype(np.uint64)]
+        x, y = near_copies.band_keys([a, b], 2)
+        assert (x == y).any()

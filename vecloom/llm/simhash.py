@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, lean, materialize, slices
 from .components import components
+from .near_copies import near_copies
 
 FIND = re.compile(WORD).findall
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -227,17 +228,16 @@ def near_duplicate_ids(docs: DataFrame, width: int = 4, most: int = 4) -> DataFr
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def without_copies(docs: DataFrame, width: int = 5, tables: int = 2, similarity: float = 0.8, allowance: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, width: int = 5, tables: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest id.
 
-    Similarity is what the fingerprint estimates: the share of differing bits is the
-    angle between two texts' shingle vectors. The estimate has a spread, and allowance is how
-    much of it a pair may lie below the similarity, so that most at it are found. Equal rows of one id count as one document;
-    rows without an id stay.
+    Near copies have sets of shingles with at least so much Jaccard similarity, which is
+    verified for each link; ``tables`` of bands find the candidates (see ``near_copies``).
+    Equal rows of one id count as one document; rows without an id stay.
     """
-    near = near_duplicates(docs, width, tables, bits_apart(similarity, tables, allowance), id_col, text_col)
-    near = materialize(near)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter("id is not null")
+    near = materialize(near_copies(rows, lambda text: shingle_hashes(text, width), tables, similarity))
     dropped = near.filter("id <> component").select(F.col("id").alias("__dropped")).distinct()
     kept = docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
-    again = near.filter("id is not null").groupBy("id", *names(tables)).count().filter("count > 1").limit(1).count()
+    again = near.groupBy("id", "node").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if again else kept
