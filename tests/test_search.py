@@ -217,3 +217,12 @@ def test_metrics(spark):
     none = spark.createDataFrame([], "query_id long, vec_id long")
     assert tuple(metrics.recall(none, none).first()) == (0, 0, 0.0)
     assert row.select(metrics.hit_rate(F.lit(0), F.lit(0))).first()[0] == 0.0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_trained_search_reaches_its_recall(spark, sf):
+    from vecloom.plans import catalog
+
+    found = catalog.QUERIES["recall_trained"](spark, f"/root/testdata/{sf}").first()
+    print("RECALL", sf, found)
+    assert found["recall"] >= 0.9 and found["nprobe"] <= found["nlist"]
