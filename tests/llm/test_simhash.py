@@ -161,3 +161,9 @@ def test_candidates_are_hardly_missed():
         b = np.r_[a[:80], rng.integers(0, 2**63, 10).astype(np.uint64)]
         x, y = near_copies.band_keys([a, b], 2)
         assert (x == y).any()
+
+
+def test_rows_of_one_id_go_one_by_one(spark):
+    texts = [" ".join(f"{c}{x}" for x in range(50)) for c in "ab"]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[0]), (2, texts[1])], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.without_copies(docs).collect()} == {(1, texts[0]), (2, texts[1])}

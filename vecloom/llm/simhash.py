@@ -233,11 +233,12 @@ def without_copies(docs: DataFrame, width: int = 5, tables: int = 2, similarity:
 
     Near copies have sets of shingles with at least so much Jaccard similarity, which is
     verified for each link; ``tables`` of bands find the candidates (see ``near_copies``).
+    Rows go one by one: of an id with several texts only those that are copies of a smaller id.
     Equal rows of one id count as one document; rows without an id stay.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter("id is not null")
     near = materialize(near_copies(rows, lambda text: shingle_hashes(text, width), tables, similarity))
-    dropped = near.filter("id <> component").select(F.col("id").alias("__dropped")).distinct()
-    kept = docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    dropped = near.filter("id <> component").select(F.col("id").alias("__dropped"), F.col("t").alias("__text")).distinct()
+    kept = docs.join(dropped, (F.col(id_col) == F.col("__dropped")) & (F.xxhash64(text_col) == F.col("__text")), "left_anti")
     again = near.groupBy("id", "node").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if again else kept
