@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -37,6 +38,53 @@ def test_expected_counts():
         assert got[i] == pytest.approx((value(up) - value(p)) / 1e-6, rel=1e-3, abs=1e-4)
 
 
+def test_text_scores_and_posterior():
+    """A text's score is its words' log-sums by frequency; the winner's share is that of the products themselves."""
+    p = np.random.default_rng(3).random((8, 3))
+    pieces = language.Pieces(PIECES)
+    for text in ("abba ab baab", "a1b_ab! cab", "ba", "cc abab cc abab"):
+        table = language.word_table(text)
+        scorer = language.Scorer(pieces, p)
+        scorer.learn(set(table))
+        want = np.array([np.prod([brute("▁" + w, k, p) ** n for w, n in table.items()]) for k in range(3)])
+        assert np.allclose(scorer.text(table), np.log(want))
+        best, share = language.posterior(scorer.text(table))
+        assert best == np.argmax(want) and share == pytest.approx(want.max() / want.sum())
+
+
+@pytest.mark.parametrize("letter", ["ꦄ", "Ꭰ", "ሀ"])
+def test_long_words_of_unknown_letters(letter):
+    pieces = language.Pieces(PIECES)
+    p = np.vstack([np.full((7, 2), 1 / 7), np.full((1, 2), language.UNKNOWN)])
+    words = [letter * language.LONGEST, "ab" * (language.LONGEST // 2)]
+    scores = language.score_words(pieces, words, p)
+    assert np.isfinite(scores).all() and scores[0, 0] == pytest.approx(math.log(1 / 7) + language.LONGEST * math.log(language.UNKNOWN))
+    counts = language.expected_counts(pieces, words, np.array([3.0, 1.0]), p[:, 0])
+    assert np.isfinite(counts).all() and counts[-1] == pytest.approx(3 * language.LONGEST)
+    assert sum(language.word_table(letter * 5000).values()) == -(-5000 // language.LONGEST)
+
+
+def test_odd_letters_in_training_and_prediction_change_no_other_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").limit(600)
+    odd = [(10**6 + i, f"{'Ꭰ' * n} the and", "es") for i, n in enumerate((41, 48, 5000))]
+    more = docs.union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    a = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, VOCABULARY).collect()}
+    b = {r["doc_id"]: r for r in language.identify(more, VOCABULARY).collect()}
+    same = [a[i] == b[i]["lang_pred"] for i in a]
+    assert len(set(a.values()) - {"und"}) == 4 and np.mean(same) > 0.995
+    assert all(np.isfinite(r["score"]) and 0 <= r["score"] <= 1 for r in b.values())
+
+
+def test_letters_are_of_category_l():
+    import unicodedata
+
+    for text in ("½ ² Ⅷ ① _ 12 ٣", ""):
+        assert not language.word_table(text)
+    assert language.word_table("a½b Ⅷx 一二") == {"a": 1, "b": 1, "x": 1, "一二": 1}
+    found = set(language.LETTERS.findall(" ".join(map(chr, range(0x110000)))))
+    assert found == {chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"}
+
+
 def test_remembered_scores_do_not_matter(monkeypatch):
     pieces = language.Pieces.from_sentencepiece(VOCABULARY)
     p = np.random.default_rng(2).random((pieces.unknown + 1, 3)) / 1e4

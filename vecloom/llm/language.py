@@ -6,9 +6,9 @@ forward algorithm; a text's score is the sum of its words' log-probabilities, an
 language with the highest score wins. Probabilities come from expectation maximisation
 with the forward and backward sums, over a sample of labelled documents of fixed size.
 
-Words are maximal runs of letters, lower-cased. Each is scored once for each batch of
-documents and joined to the batch's word frequencies; the forward sums of words of one
-length run together in numpy.
+Words are maximal runs of letters (Unicode category L), lower-cased. Each is scored once for
+each batch of documents and joined to the batch's word frequencies; the forward sums of words
+of one length run together in numpy, as logarithms, so that no word is too unlikely to count.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to
 the first language by name; ids may be null and may repeat; null languages are not
@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: \w without digits and the underscore has numbers like ½ and Ⅷ besides letters.
+LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ('Nl', 'No'))}]+")
 UNDETERMINED = "und"
 #: Labelled documents to learn from, of each language: the bound of the fitted sample.
 DOCS_PER_LANGUAGE = 250
@@ -125,28 +128,36 @@ def by_length(words: list[str], most: int = 20_000) -> Iterator[list[str]]:
             yield group[i : i + most]
 
 
+def _add(table: np.ndarray, at: int, rows: np.ndarray, logs: np.ndarray) -> None:
+    table[at, rows] = np.logaddexp(table[at, rows], logs)
+
+
 def score_words(pieces: Pieces, words: list[str], probabilities: np.ndarray) -> np.ndarray:
     """Log-probability by (word, language) of words of one length; probabilities by (piece, language)."""
-    alpha = np.zeros((len(words[0]) + 2, len(words), probabilities.shape[1]))
-    alpha[0] = 1
+    logs = np.log(probabilities)
+    alpha = np.full((len(words[0]) + 2, len(words), probabilities.shape[1]), -np.inf)
+    alpha[0] = 0
     for i, j, rows, piece in pieces.cuts(words):
-        alpha[j, rows] += alpha[i, rows] * probabilities[piece]
-    return np.log(alpha[-1])
+        _add(alpha, j, rows, alpha[i, rows] + logs[piece])
+    return alpha[-1]
 
 
 def expected_counts(pieces: Pieces, words: list[str], freq: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words of one length, for one language's probabilities by piece."""
-    edges = [*pieces.cuts(words)]
-    alpha = np.zeros((len(words[0]) + 2, len(words)))
-    beta = np.zeros_like(alpha)
-    alpha[0] = beta[-1] = 1
+    edges, logs = [*pieces.cuts(words)], np.log(probabilities)
+    alpha = np.full((len(words[0]) + 2, len(words)), -np.inf)
+    beta = alpha.copy()
+    alpha[0] = beta[-1] = 0
     for i, j, rows, piece in edges:
-        alpha[j, rows] += alpha[i, rows] * probabilities[piece]
+        _add(alpha, j, rows, alpha[i, rows] + logs[piece])
     for i, j, rows, piece in reversed(edges):
-        beta[i, rows] += beta[j, rows] * probabilities[piece]
-    weight, uses = freq / alpha[-1], np.zeros(pieces.unknown + 1)
+        _add(beta, i, rows, beta[j, rows] + logs[piece])
+    uses = np.zeros(pieces.unknown + 1)
     for i, j, rows, piece in edges:
-        uses += np.bincount(piece, alpha[i, rows] * probabilities[piece] * beta[j, rows] * weight[rows], minlength=uses.size)
+        share = np.exp(alpha[i, rows] + logs[piece] + beta[j, rows] - alpha[-1, rows])
+        uses += np.bincount(piece, share * freq[rows], minlength=uses.size)
+    if not np.isfinite(uses).all():
+        raise ArithmeticError("expected counts must be finite")
     return uses
 
 
@@ -185,6 +196,18 @@ class Scorer:
         return np.fromiter(table.values(), float, len(table)) @ self.scores[[*map(self.place.__getitem__, table)]]
 
 
+def posterior(total: np.ndarray) -> tuple[int, float]:
+    """The language of the highest score, the first of equals, and its share of the posterior, languages alike before."""
+    best = int(np.argmax(np.round(total, 6)))
+    return best, min(1.0, 1 / sum(math.exp(min(0.0, max(-700.0, x))) for x in (total - total[best]).tolist()))
+
+
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """A vocabulary's pieces, made once for each worker."""
+    return Pieces.from_sentencepiece(path)
+
+
 class Model:
     """Languages in order and log-probabilities of their pieces."""
 
@@ -207,7 +230,7 @@ def fit(docs: DataFrame, vocabulary_path: str, docs_per_language: int = DOCS_PER
     chosen = chosen.select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text").persist()
-    pieces = Pieces.from_sentencepiece(vocabulary_path)
+    pieces = pieces_of(vocabulary_path)
     counts = np.ones((pieces.unknown, len(languages)))
     probabilities = _normal(counts)
     try:
@@ -216,7 +239,7 @@ def fit(docs: DataFrame, vocabulary_path: str, docs_per_language: int = DOCS_PER
 
             @lean
             def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                own = Pieces.from_sentencepiece(vocabulary_path)
+                own = pieces_of(vocabulary_path)
                 for part in slices(batches, "text"):
                     by: dict[str, Counter] = {}
                     for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -241,9 +264,11 @@ def _normal(counts: np.ndarray) -> np.ndarray:
     return np.vstack([counts / counts.sum(axis=0), np.full((1, counts.shape[1]), UNKNOWN)])
 
 
-def predict(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added: the winner's share of the posterior, languages alike before."""
+def predict(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str = "text", names: tuple[str, str] = ("__lang_pred", "__score")) -> DataFrame:
+    """``docs`` with the predicted language and its share of the posterior added, under names that ``docs`` must not have."""
     session = docs.sparkSession
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"docs has the columns {sorted(clash)}")
     shared = session.sparkContext.broadcast((model.languages, model.probabilities))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text_col)
@@ -251,7 +276,7 @@ def predict(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str =
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probabilities = shared.value
-        scorer = Scorer(Pieces.from_sentencepiece(vocabulary_path), probabilities)
+        scorer = Scorer(pieces_of(vocabulary_path), probabilities)
         for part in slices(batches, text_col):
             tables = [word_table(t) if languages else {} for t in part.column(at).to_pylist()]
             scorer.learn(set().union(*tables))
@@ -260,13 +285,12 @@ def predict(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str =
                 if not table:
                     found.append((UNDETERMINED, 0.0))
                     continue
-                total = scorer.text(table)
-                best = int(np.argmax(np.round(total, 6)))
-                found.append((languages[best], min(1.0, 1 / sum(math.exp(min(0.0, max(-700.0, x))) for x in (total - total[best]).tolist()))))
-            names, values = zip(*found)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())], [*part.schema.names, "__lang_pred", "__score"])
+                best, share = posterior(scorer.text(table))
+                found.append((languages[best], share))
+            best, shares = zip(*found)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(shares, pa.float64())], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{kinds}, `__lang_pred` string, `__score` double")
+    return docs.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def trained_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
