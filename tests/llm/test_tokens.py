@@ -66,6 +66,46 @@ def test_tree_is_the_plain_merge_at_any_leaf(monkeypatch):
         assert [bpe.encode_tree(p) for p in pieces] == plain
 
 
+def test_documents_go_through_the_tree(monkeypatch):
+    """Every match of the given documents that is no token is joined from halves, and ids are concatenated up a tree."""
+    import pyarrow.parquet as pq
+
+    joins, halves, depth = [], [], []
+    join, decode_tree, encode_tree = byte_bpe.ByteBPE.join, byte_bpe.ByteBPE.decode_tree, byte_bpe.ByteBPE.encode_tree
+
+    def counted(self, left, right):
+        joins.append(b"".join(left + right))
+        return join(self, left, right)
+
+    def entered(self, piece):
+        depth.append(piece)
+        return encode_tree(self, piece)
+
+    def spelled(self, ids):
+        halves.append(len(ids))
+        return decode_tree(self, ids)
+
+    monkeypatch.setattr(byte_bpe.ByteBPE, "join", counted)
+    monkeypatch.setattr(byte_bpe.ByteBPE, "encode_tree", entered)
+    monkeypatch.setattr(byte_bpe.ByteBPE, "decode_tree", spelled)
+    bpe = byte_bpe.ByteBPE.from_file(RANKS, P.PATTERN)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    assert all(bpe.decode(bpe.encode(t)) == t.encode() for t in texts)
+    other = {m.encode() for t in texts for m in bpe.split(t)} - set(bpe.ranks)
+    assert {m for m in other if len(m) > byte_bpe.LEAF} <= set(joins) and {m for m in other} <= set(depth) and len(set(joins) & other) > len(other) / 2
+    assert len(halves) > 4 * len(texts)
+
+
+def test_long_matches_take_no_square_time():
+    import time
+
+    bpe = byte_bpe.vocabulary(RANKS, P.PATTERN)
+    start = time.monotonic()
+    for piece in (b"a" * 20_000, b"ab" * 10_000, b"-" * 20_000, "é漢".encode() * 4000, bytes(random.Random(3).choices(b"abcdefghijklmnop", k=20_000))):
+        bpe.encode_tree(piece)
+    assert time.monotonic() - start < 30
+
+
 def test_white_space_is_that_of_the_library(library):
     bpe = byte_bpe.vocabulary(RANKS, P.PATTERN)
     text = "".join(f"a{chr(c)}{chr(c)}b" for c in range(0x3100) if not 0xD800 <= c < 0xE000)

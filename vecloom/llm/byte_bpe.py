@@ -1,12 +1,14 @@
 """Byte-level BPE, encoded and decoded as a monoid.
 
-Encoding a long match halves it, encodes both halves and joins the token lists. A join
-re-encodes a window around the boundary and widens it until both pairs at its edges are
+Encoding a match that is no token itself halves it down to LEAF bytes and joins the token
+lists on the way up. A join re-encodes a window around the boundary and widens it until both pairs at its edges are
 stable: ``(x, y)`` is stable if encoding the bytes of both gives just x and y again. A
 list whose neighbours are all stable pairs is the encoding of its bytes: merges run by
 rank, so up to the first merge across a boundary the two tokens beside it have gone
 through the merges they would go through alone, and alone they never merge. So the
-tokens outside the window are final. Decoding concatenates token bytes up a tree.
+tokens outside the window are final. Matches need no join between them: the pattern cuts
+there for good, and a worker remembers the ids of short ones. Decoding halves the ids down
+to SPELLED tokens and concatenates bytes up the tree.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; ids may be null
 and may repeat; other columns are ignored, whatever their names; an empty table gives an
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices
 
-#: Up to so many bytes are merged directly.
-LEAF = 48
+#: Bytes of a leaf, and those from which on a window's merges are queued.
+LEAF, DIRECT = 4, 48
+#: Tokens of a leaf when ids are decoded.
+SPELLED = 32
 #: Most matches that a worker remembers, and the longest (characters); beyond it the dictionary starts anew.
 REMEMBERED, LONGEST = 400_000, 64
 #: The rank files' \s: the Unicode property White_Space.
@@ -56,6 +61,8 @@ class ByteBPE:
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Merges by rank, the leftmost of equals first."""
+        if len(piece) > DIRECT:
+            return self._merge_queued(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         none = len(self.token_bytes)
         ranks = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -69,6 +76,28 @@ class ByteBPE:
                 ranks[i] = self.ranks.get(parts[i] + parts[i + 1], none)
         return parts
 
+    def _merge_queued(self, piece: bytes) -> list[bytes]:
+        """The same with a queue of pairs, for windows that a join can't keep short."""
+        n, get = len(piece), self.ranks.get
+        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
+        queue = [(r, i) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] is None or j < 0 or get(both := parts[i] + parts[j]) != rank:
+                continue  # one of the pair has gone into another merge
+            parts[i], parts[j] = both, None
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := get(both + parts[k])) is not None:
+                    heapq.heappush(queue, (r, i))
+            if (h := before[i]) >= 0 and (r := get(parts[h] + both)) is not None:
+                heapq.heappush(queue, (r, h))
+        return [x for x in parts if x is not None]
+
     def stable(self, x: bytes, y: bytes) -> bool:
         found = self.stable_pairs.get((x, y))
         if found is None:
@@ -89,11 +118,11 @@ class ByteBPE:
                 return left[: len(left) - a] + window + right[b:]
             a = min(len(left), 2 * a + 1) if grow_left else a
             b = min(len(right), 2 * b + 1) if grow_right else b
-            window = self.encode_tree(b"".join(left[len(left) - a :] + right[:b]), whole=a == len(left) and b == len(right))
+            window = self.merge(b"".join(left[len(left) - a :] + right[:b]))
 
-    def encode_tree(self, piece: bytes, whole: bool = False) -> list[bytes]:
-        """Token bytes of one match. whole: no halving, for windows that span everything."""
-        if len(piece) <= LEAF or whole:
+    def encode_tree(self, piece: bytes) -> list[bytes]:
+        """Token bytes of one match."""
+        if len(piece) <= LEAF:
             return self.merge(piece)
         half = len(piece) // 2
         return self.join(self.encode_tree(piece[:half]), self.encode_tree(piece[half:]))
@@ -120,14 +149,14 @@ class ByteBPE:
             out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        def tree(values: list[int]) -> bytes:
-            if len(values) <= 4096:
-                return b"".join(map(self.token_bytes.__getitem__, values))
-            half = len(values) // 2
-            return tree(values[:half]) + tree(values[half:])
+    def decode_tree(self, ids: list[int]) -> bytes:
+        if len(ids) <= SPELLED:
+            return b"".join(map(self.token_bytes.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode_tree(ids[:half]) + self.decode_tree(ids[half:])
 
-        return tree(np.frombuffer(ids, "<u4").tolist())
+    def decode(self, ids: bytes) -> bytes:
+        return self.decode_tree(np.frombuffer(ids, "<u4").tolist())
 
 
 @lru_cache(maxsize=2)
