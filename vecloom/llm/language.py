@@ -8,7 +8,7 @@ with the forward and backward sums, over a sample of labelled documents of fixed
 
 Words are maximal runs of letters (Unicode category L), lower-cased. Each is scored once for
 each batch of documents and joined to the batch's word frequencies; the forward sums of words
-of one length run together in numpy, as logarithms, so that no word is too unlikely to count.
+of one length run together in numpy, and as logarithms where a word is too unlikely for doubles.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to
 the first language by name; ids may be null and may repeat; null languages are not
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices
 
-#: \w without digits and the underscore has numbers like ½ and Ⅷ besides letters.
-LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ('Nl', 'No'))}]+")
+#: Letters, and numbers like ½ and Ⅷ, which \w has too and which ``word_table`` takes out again.
+LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Labelled documents to learn from, of each language: the bound of the fitted sample.
 DOCS_PER_LANGUAGE = 250
@@ -42,6 +41,8 @@ ROUNDS = 2
 LONGEST = 48
 #: Most words that a worker remembers; beyond it the table starts anew, which only costs time.
 REMEMBERED = 400_000
+#: A factor for each letter, about the inverse of its probability.
+TILT = 1e4
 #: Pseudo-count of every piece in every language, and the probability of a letter that is no piece.
 SMOOTHING, UNKNOWN = 0.1, 1e-8
 
@@ -58,6 +59,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]) -> None:
         self.unknown = len(pieces)
+        self.lengths = np.array([*map(len, pieces), 1], np.float64)
         starts = sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)})
         found = {p: i for i, p in enumerate(pieces)}
         hashes = np.array([self._hash(s) for s in starts], np.uint64)
@@ -87,7 +89,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not model.is_byte(i) and not model.is_control(i))
-        return cls(sorted({p for p in found if LETTERS.fullmatch(p.removeprefix("▁") or "a")}))
+        return cls(sorted({p for p in found if (p.removeprefix("▁") or "a").isalpha()}))
 
     def cuts(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, words, pieces), by from, for words of one length, each behind a ▁.
@@ -128,34 +130,69 @@ def by_length(words: list[str], most: int = 20_000) -> Iterator[list[str]]:
             yield group[i : i + most]
 
 
-def _add(table: np.ndarray, at: int, rows: np.ndarray, logs: np.ndarray) -> None:
-    table[at, rows] = np.logaddexp(table[at, rows], logs)
+def _sums(edges: list, size: int, n: int, weights: np.ndarray, logs: bool, forward: bool) -> np.ndarray:
+    """Forward or backward sums by (place, word, ...); weights by piece, or with logs their logarithms."""
+    table = np.full((size + 2, n, *weights.shape[1:]), -np.inf if logs else 0.0)
+    table[0 if forward else -1] = 0 if logs else 1
+    for i, j, rows, piece in edges if forward else reversed(edges):
+        a, b = (i, j) if forward else (j, i)
+        if logs:
+            table[b, rows] = np.logaddexp(table[b, rows], table[a, rows] + weights[piece])
+        else:
+            table[b, rows] += table[a, rows] * weights[piece]
+    return table
+
+
+def _tilted(pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
+    """Probabilities times TILT for each letter, which keeps sums over long words in the range of doubles."""
+    factors = TILT ** pieces.lengths
+    return probabilities * (factors[:, None] if probabilities.ndim > 1 else factors)
+
+
+def _in_range(total: np.ndarray) -> np.ndarray:
+    """Words whose sums have neither vanished nor overflowed."""
+    good = (total > 1e-200) & (total < 1e200)
+    return good.all(axis=1) if good.ndim > 1 else good
 
 
 def score_words(pieces: Pieces, words: list[str], probabilities: np.ndarray) -> np.ndarray:
-    """Log-probability by (word, language) of words of one length; probabilities by (piece, language)."""
-    logs = np.log(probabilities)
-    alpha = np.full((len(words[0]) + 2, len(words), probabilities.shape[1]), -np.inf)
-    alpha[0] = 0
-    for i, j, rows, piece in pieces.cuts(words):
-        _add(alpha, j, rows, alpha[i, rows] + logs[piece])
-    return alpha[-1]
+    """Log-probability by (word, language) of words of one length; probabilities by (piece, language).
+
+    Words whose sums leave the range of doubles are added up again as logarithms.
+    """
+    size = len(words[0])
+    total = _sums([*pieces.cuts(words)], size, len(words), _tilted(pieces, probabilities), False, True)[-1]
+    good = _in_range(total)
+    with np.errstate(divide="ignore"):
+        out = np.log(total) - (size + 1) * math.log(TILT)
+    if not good.all():
+        again = [w for w, g in zip(words, good.tolist()) if not g]
+        out[~good] = _sums([*pieces.cuts(again)], size, len(again), np.log(probabilities), True, True)[-1]
+    return out
 
 
 def expected_counts(pieces: Pieces, words: list[str], freq: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words of one length, for one language's probabilities by piece."""
-    edges, logs = [*pieces.cuts(words)], np.log(probabilities)
-    alpha = np.full((len(words[0]) + 2, len(words)), -np.inf)
-    beta = alpha.copy()
-    alpha[0] = beta[-1] = 0
-    for i, j, rows, piece in edges:
-        _add(alpha, j, rows, alpha[i, rows] + logs[piece])
-    for i, j, rows, piece in reversed(edges):
-        _add(beta, i, rows, beta[j, rows] + logs[piece])
     uses = np.zeros(pieces.unknown + 1)
-    for i, j, rows, piece in edges:
-        share = np.exp(alpha[i, rows] + logs[piece] + beta[j, rows] - alpha[-1, rows])
-        uses += np.bincount(piece, share * freq[rows], minlength=uses.size)
+
+    def count(words: list[str], freq: np.ndarray, weights: np.ndarray, logs: bool) -> np.ndarray:
+        edges, size = [*pieces.cuts(words)], len(words[0])
+        alpha, beta = (_sums(edges, size, len(words), weights, logs, forward) for forward in (True, False))
+        good = np.ones(len(words), bool) if logs else _in_range(alpha[-1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(good, freq if logs else freq / alpha[-1], 0.0)
+        for i, j, rows, piece in edges:
+            if logs:
+                share = np.exp(alpha[i, rows] + weights[piece] + beta[j, rows] - alpha[-1, rows])
+            else:
+                share = alpha[i, rows] * weights[piece] * beta[j, rows]
+            share = np.where(good[rows], share, 0.0)
+            uses[:] += np.bincount(piece, share * weight[rows], minlength=uses.size)
+        return good
+
+    good = count(words, freq, _tilted(pieces, probabilities), False)
+    if not good.all():
+        count([w for w, g in zip(words, good.tolist()) if not g], freq[~good], np.log(probabilities), True)
     if not np.isfinite(uses).all():
         raise ArithmeticError("expected counts must be finite")
     return uses
@@ -164,11 +201,11 @@ def expected_counts(pieces: Pieces, words: list[str], freq: np.ndarray, probabil
 def word_table(text: str | None) -> dict[str, int]:
     """Frequencies of a text's words, long ones in stretches."""
     found = Counter(LETTERS.findall(text.lower())) if text else Counter()
-    if found and max(map(len, found)) > LONGEST:
-        for w in [w for w in found if len(w) > LONGEST]:
-            n = found.pop(w)
-            for i in range(0, len(w), LONGEST):
-                found[w[i : i + LONGEST]] += n
+    for w in [w for w in found if not w.isalpha() or len(w) > LONGEST]:
+        n = found.pop(w)
+        for run in "".join(c if c.isalpha() else " " for c in w).split():
+            for i in range(0, len(run), LONGEST):
+                found[run[i : i + LONGEST]] += n
     return found
 
 
