@@ -36,8 +36,8 @@ from .common import lean, slices
 LEAF, DIRECT = 4, 48
 #: Tokens of a leaf when ids are decoded.
 SPELLED = 32
-#: Most matches that a worker remembers, and the longest (characters); beyond it the dictionary starts anew.
-REMEMBERED, LONGEST = 400_000, 64
+#: Most matches, leaves, windows and pairs that a worker remembers, the longest match (characters), and the longest window; beyond it the dictionary starts anew.
+REMEMBERED, LONGEST, SHORT = 400_000, 64, 12
 #: The rank files' \s: the Unicode property White_Space.
 WHITE = r"\t\n\x0b\f\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -52,6 +52,7 @@ class ByteBPE:
             self.token_bytes[rank] = token
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")).findall
         self.known: dict[str, bytes] = {}
+        self.merged: dict[bytes, list[bytes]] = {}
         self.stable_pairs: dict[tuple[bytes, bytes], bool] = {}
 
     @classmethod
@@ -63,6 +64,8 @@ class ByteBPE:
         """Merges by rank, the leftmost of equals first."""
         if len(piece) > DIRECT:
             return self._merge_queued(piece)
+        if (known := self.merged.get(piece)) is not None:
+            return known
         parts = [piece[i : i + 1] for i in range(len(piece))]
         none = len(self.token_bytes)
         ranks = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -74,6 +77,10 @@ class ByteBPE:
                 ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], none)
             if i < len(ranks):
                 ranks[i] = self.ranks.get(parts[i] + parts[i + 1], none)
+        if len(piece) <= SHORT:
+            if len(self.merged) > REMEMBERED // 2:
+                self.merged.clear()
+            self.merged[piece] = parts
         return parts
 
     def _merge_queued(self, piece: bytes) -> list[bytes]:
@@ -101,13 +108,15 @@ class ByteBPE:
     def stable(self, x: bytes, y: bytes) -> bool:
         found = self.stable_pairs.get((x, y))
         if found is None:
-            if len(self.stable_pairs) > REMEMBERED:
+            if len(self.stable_pairs) > REMEMBERED // 2:
                 self.stable_pairs.clear()
             found = self.stable_pairs[x, y] = self.merge(x + y) == [x, y]
         return found
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """The encoding of both together, from the encodings of each."""
+        if self.stable(left[-1], right[0]):
+            return left + right
         a = b = 0
         window: list[bytes] = []
         while True:
