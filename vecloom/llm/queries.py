@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, fingerprints, html_text, language, media, mixing, simhash, substrings, suffix_dedup, token_counts
-from .common import documents
+from .common import documents, materialize
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store(documents(spark, sf_dir), keep_media=False)
+    return media.read_back(materialize(media.store(documents(spark, sf_dir))))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
