@@ -1,12 +1,14 @@
-"""Texts whose sets of shingles have at least a Jaccard similarity, each link verified exactly.
+"""Texts whose sets of shingles have at least a Jaccard similarity: SimHash candidates, each link verified exactly.
 
-Rows of equal sets are one node. Candidates share the minima of ROWS hash functions in one
-of BANDS bands a table (``miss_chance``); their sets are then fetched and compared, and only
-pairs that reach the similarity are linked.
+Rows of equal sets are one node. A node's fingerprint has TABLES times 64 bits, cut into SEGMENTS
+segments; candidates have a segment in which they differ in at most one bit (``miss_chance``), that
+is, an equal variant of it with one bit left out. Half of such a segment is equal, so a node is dealt once for
+each half of each segment, and its variants are made, sorted and joined by equality in the receiving task.
+Candidates whose whole fingerprints lie too far apart for the similarity (``bits_apart``) are put aside.
 
-A band's members never become all their pairs at once. First each is verified against the
-smallest node of its band; then, where members are in different components of those links,
-all pairs between them are. So the components are those of all candidates that reach the
+A variant's members never become all their pairs at once. First a forest that spans them is
+verified against the sets; then, where members are in different components of those links,
+all candidates between them are. So the components are those of all candidates that reach the
 similarity, and a large group of near copies takes about as many comparisons as it has members.
 
 Defined cases: sets without shingles equal each other and nothing else; nodes are named by
@@ -15,6 +17,7 @@ Defined cases: sets without shingles equal each other and nothing else; nodes ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,55 +26,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import BITS, close, fingerprints_of, group_links
 from .common import lean, materialize, slices, small_batches
 from .components import components
-from .passages import BASE, mixed
-
-#: Hash functions of a band, and bands of a table.
-ROWS, BANDS = 5, 20
-#: Shingles whose minima are taken at once.
-COUNTED = 1 << 15
+from .passages import PACKED, bucket_of, dealt, packed_rows, partitions, unpack
+
+TABLES, SEGMENTS = 5, 16
+#: Bits of a segment and of its halves.
+WIDTH = BITS * TABLES // SEGMENTS
+HALF = WIDTH // 2
+#: Standard deviations of the differing bits that candidates may have above what the similarity makes expect.
+ALLOWANCE = 2.5
+#: Shingles whose bits are counted at once, nodes that are dealt at once, and links that are sent at once.
+COUNTED, DEALT, SENT = 1 << 15, 4000, 100_000
+#: Members of a variant up to which their pairs are compared by shifted columns.
+SMALL = 32
 
 Shingles = Callable[[str | None], np.ndarray]
+FPS = [f"fp{t}" for t in range(TABLES)]
+KINDS = ["<u4", "<i8", "<i8", "<i8", *["<u8"] * TABLES]
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which texts of a Jaccard similarity are expected to differ, at most."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def miss_chance(similarity: float, tables: int) -> float:
-    """Chance that two sets of a Jaccard similarity share no band."""
-    return (1 - similarity**ROWS) ** (BANDS * tables)
+def miss_chance(similarity: float) -> float:
+    """Chance that two sets of a Jaccard similarity are no candidates."""
+    p = differing(similarity)
+    no_segment = (1 - (1 - p) ** WIDTH - WIDTH * p * (1 - p) ** (WIDTH - 1)) ** SEGMENTS
+    return no_segment + 0.5 * math.erfc(ALLOWANCE / math.sqrt(2))
 
 
-def band_keys(sets: list[np.ndarray], tables: int) -> np.ndarray:
-    """Keys by (set, band); sets aren't empty."""
-    values = np.concatenate(sets)
-    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    factors = mixed(np.arange(1, ROWS * BANDS * tables + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
-    out = np.empty((len(sets), BANDS * tables), np.uint64)
-    for band in range(out.shape[1]):
-        key = np.full(len(sets), band, np.uint64)
-        for factor in factors[band * ROWS : (band + 1) * ROWS]:
-            key = mixed(key * factor + np.minimum.reduceat(values * factor, starts))
-        out[:, band] = key
-    return out
+def bits_apart(similarity: float) -> int:
+    n, p = BITS * TABLES, differing(similarity)
+    return int(n * p + ALLOWANCE * math.sqrt(n * p * (1 - p)))
 
 
 def _node(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes())
 
 
-def _sketches(rows: DataFrame, shingles: Shingles, tables: int) -> DataFrame:
-    """(id, t, node, n, keys) of rows (id, t, text)."""
+def _sketches(rows: DataFrame, shingles: Shingles) -> DataFrame:
+    """(id, t, node, n, FPS) of rows (id, t, text)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            nodes, sizes, keys, waiting, held = [], [], [], [], 0
-
-            def flush() -> None:
-                full = [s for s in waiting if len(s)]
-                found = iter(band_keys(full, tables) if full else ())
-                keys.extend(next(found).tobytes() if len(s) else b"" for s in waiting)
-                waiting.clear()
-
+            nodes, sizes, waiting, held, found = [], [], [], 0, []
             for text in part.column(2).to_pylist():
                 own = np.unique(shingles(text))
                 nodes.append(_node(own))
@@ -79,79 +82,125 @@ def _sketches(rows: DataFrame, shingles: Shingles, tables: int) -> DataFrame:
                 waiting.append(own)
                 held += len(own)
                 if held > COUNTED:
-                    flush()
-                    held = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["id", "t", "node", "n", "keys"])
+                    found.append(fingerprints_of(waiting, TABLES))
+                    waiting, held = [], 0
+            found.append(fingerprints_of(waiting, TABLES))
+            fps = np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], ["id", "t", "node", "n", *FPS])
 
-    return rows.select("id", "t", "text").mapInArrow(run, "id long, t long, node long, n long, keys binary")
+    return rows.select("id", "t", "text").mapInArrow(run, "id long, t long, node long, n long" + "".join(f", {f} long" for f in FPS))
 
 
-def _fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of such sizes can be that similar."""
-    return np.minimum(a, b) / np.maximum(a, b) >= similarity
+def _segments(fps: np.ndarray) -> Iterator[np.ndarray]:
+    """The segments of fingerprints by (node, table)."""
+    for s in range(SEGMENTS):
+        word, shift = divmod(s * WIDTH, BITS)
+        value = fps[:, word] >> np.uint64(shift)
+        if shift + WIDTH > BITS:
+            value = value | fps[:, word + 1] << np.uint64(BITS - shift)
+        yield value & np.uint64((1 << WIDTH) - 1)
 
 
-def _stars(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(key, a, b, n, fits): each member b of a band's key besides its smallest node a, and whether their sizes fit."""
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """PACKED rows (node, n, label, FPS), once for each half of each segment, by that half."""
+    buckets = partitions(nodes)
 
     @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for i in range(0, part.num_rows, 2000):
-                cut = part.slice(i, 2000)
-                keys = [np.frombuffer(k, np.int64) for k in cut.column(2).to_pylist()]
-                times = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.repeat(cut.column(c).to_numpy(), times)) for c in (0, 1))], ["key", "node", "n"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, DEALT):
+                node, n, label, *words = (c.to_numpy() for c in batch.slice(i, DEALT).columns)
+                fps = np.stack(words, axis=1).view(np.uint64)
+                routes = []
+                for s, value in enumerate(_segments(fps)):
+                    for half in (0, 1):
+                        own = value >> np.uint64(HALF * half) & np.uint64((1 << HALF) - 1)
+                        routes.append(own + np.uint64((2 * s + half) << HALF))
+                route = np.concatenate(routes)
+                times = 2 * SEGMENTS
+                columns = [route.astype("<u4"), *(np.tile(c, times) for c in (node, n, label)), *(np.tile(c, times) for c in fps.T)]
+                yield packed_rows([*dealt(bucket_of(route, buckets), 0, columns)])
+
+    return nodes.select("node", "n", "label", *FPS).mapInArrow(deal, PACKED).repartitionById(buckets, "bucket")
+
+
+def _variants(route: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
+    """For each bit of the half of a segment that its route doesn't hold: route and half without that bit."""
+    segment, half = (route >> np.uint32(HALF + 1)).astype(np.int64), route >> np.uint32(HALF) & np.uint32(1)
+    other = np.zeros(len(route), np.uint64)
+    for s, value in enumerate(_segments(fps)):
+        own = segment == s
+        other[own] = value[own] >> np.where(half[own] == 0, np.uint64(HALF), np.uint64(0)) & np.uint64((1 << HALF) - 1)
+    for bit in range(HALF):
+        yield (route.astype(np.uint64) << np.uint64(HALF) | other & ~np.uint64(1 << bit)).view(np.int64)
 
-    @lean
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [*batches]
-        if not parts:
-            return
-        keys, nodes, sizes = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
-        del parts
-        order = np.lexsort((nodes, keys))
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-        first = np.r_[True, keys[1:] != keys[:-1]]
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        b = np.flatnonzero(~first)
-        a = lead[b]
-        columns = [keys[b], nodes[a], nodes[b], sizes[b], _fit(sizes[a], sizes[b], similarity)]
-        for i in range(0, len(b), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["key", "a", "b", "n", "fits"])
 
-    keyed = distinct.filter("n > 0").select("node", "n", "keys").mapInArrow(deal, "key long, node long, n long")
-    return keyed.repartition("key").mapInArrow(meet, "key long, a long, b long, n long, fits boolean")
+def _fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of such sizes can be that similar."""
+    return np.minimum(a, b) / np.maximum(a, b) >= similarity
 
 
-def _apart(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of members (key, node, n, label) of a key that have different labels and sizes that fit."""
+def _met(nodes: DataFrame, similarity: float, apart: bool) -> DataFrame:
+    """(a, b) of nodes (node, n, label, FPS) that share a variant and lie near each other: a forest for each variant, or with apart all of different labels."""
+    most = bits_apart(similarity)
 
     @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [*batches]
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(blob, KINDS) for batch in batches for blob in batch.column(2).to_pylist()]
         if not parts:
             return
-        keys, nodes, sizes, labels = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(4))
+        route, node, n, label, *words = (np.concatenate(c) for c in zip(*parts))
         del parts
-        order = np.lexsort((nodes, labels, keys))
-        keys, nodes, sizes, labels = keys[order], nodes[order], sizes[order], labels[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        stops = np.r_[starts[1:], len(keys)]
-        several = labels[starts] != labels[stops - 1]  # labels are sorted in a key
-        left = np.flatnonzero(np.repeat(several, stops - starts))
-        for d in range(1, len(keys)):
-            left = left[left + d < len(keys)]
-            left = left[keys[left] == keys[left + d]]
-            if not left.size:
-                break
-            met = left[(labels[left] != labels[left + d]) & _fit(sizes[left], sizes[left + d], similarity)]
-            if met.size:
-                x, y = nodes[met], nodes[met + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return members.repartition("key").mapInArrow(run, "a long, b long").distinct()
+        by = np.lexsort((node, route))
+        route, node, n, label = route[by], node[by], n[by], label[by]
+        fps = np.stack([w[by] for w in words], axis=1)
+        found: list[np.ndarray] = []
+        for keys in _variants(route, fps):
+            order = np.argsort(keys, kind="stable")
+            x, y = _apart(keys[order], fps, label, order, most) if apart else group_links(keys[order], fps[order], most)
+            if not apart:
+                x, y = order[x], order[y]
+            fits = _fit(n[x], n[y], similarity)
+            pairs = np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)[fits]
+            found.append(np.unique(pairs, axis=0) if len(pairs) else pairs)
+        pairs = np.unique(np.concatenate(found), axis=0)
+        for i in range(0, len(pairs), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs[i : i + SENT].T], ["a", "b"])
+
+    return _dealt(nodes).mapInArrow(meet, "a long, b long").distinct()
+
+
+def _apart(keys: np.ndarray, fps: np.ndarray, labels: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members (places before the order) that share a key, lie near each other and have different labels; keys sorted."""
+    a, b = [], []
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    for i, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        own = order[i : i + size]
+        names, which, counts = np.unique(labels[own], return_inverse=True, return_counts=True)
+        # Those outside the largest component against all others, those before them aside.
+        few = np.flatnonzero(which != np.argmax(counts)) if len(names) > 1 else ()
+        done = np.zeros(size, bool)
+        for at in few:
+            done[at] = True
+            rest = own[(which != which[at]) & ~done]
+            near = rest[close(fps[rest], fps[own[at]], most)]
+            a.append(np.full(near.size, own[at]))
+            b.append(near)
+    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    for d in range(1, SMALL):
+        small = small[small + d < len(keys)]
+        small = small[keys[small] == keys[small + d]]
+        if not small.size:
+            break
+        x, y = order[small], order[small + d]
+        met = labels[x] != labels[y]
+        x, y = x[met], y[met]
+        near = close(fps[x], fps[y], most)
+        a.append(x[near])
+        b.append(y[near])
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, shingles: Shingles, similarity: float) -> DataFrame:
@@ -175,7 +224,6 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, shingles:
                 same.append(common / (len(both) - common) >= similarity)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    pairs = materialize(pairs)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(distinct.join(nodes, "node", "left_semi").select("t"))
     sets = materialize(rows.join(wanted, "t", "left_semi").select("text").mapInArrow(make, "node long, own binary").dropDuplicates(["node"]))
@@ -185,18 +233,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, shingles:
     return materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
-def near_copies(rows: DataFrame, shingles: Shingles, tables: int, similarity: float) -> DataFrame:
+def near_copies(rows: DataFrame, shingles: Shingles, similarity: float) -> DataFrame:
     """(id, t, node, component) for each of ``rows`` (id, t, text; ids not null, t a hash of the text): the smallest id that links lead to."""
     small_batches(rows.sparkSession)
-    found = materialize(_sketches(rows, shingles, tables))
-    distinct = materialize(found.groupBy("node").agg(F.min("id").alias("id"), F.min("t").alias("t"), F.min("n").alias("n"), F.first("keys").alias("keys")))
-    stars = materialize(_stars(distinct, similarity))
-    links = _verified(stars.filter("fits").select("a", "b").distinct(), rows, distinct, shingles, similarity)
-    linked = components(links).select(F.col("node").alias("b"), "component")
-    members = stars.join(linked, "b", "left").select("key", F.col("b").alias("node"), "n", F.coalesce("component", "b").alias("label"))
-    more = _verified(_apart(members, similarity), rows, distinct, shingles, similarity)
+    found = materialize(_sketches(rows, shingles))
+    firsts = [F.first(c).alias(c) for c in FPS]  # equal for equal sets
+    distinct = materialize(found.groupBy("node").agg(F.min("id").alias("id"), F.min("t").alias("t"), F.min("n").alias("n"), *firsts))
+    full = distinct.filter("n > 0")
+    forest = materialize(_met(full.withColumn("label", F.col("node")), similarity, apart=False))
+    links = _verified(forest, rows, distinct, shingles, similarity)
+    linked = components(links).select("node", F.col("component").alias("label"))
+    # Whoever has a candidate is in the forest; the others need no second look.
+    met = forest.select(F.col("a").alias("node")).union(forest.select(F.col("b").alias("node"))).distinct()
+    labelled = full.join(met, "node", "left_semi").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = _verified(materialize(_met(labelled, similarity, apart=True)), rows, distinct, shingles, similarity)
     linked = components(links.union(more))
-    labelled = distinct.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("id").alias("component"))
-    heads = materialize(labelled.join(least, "label").select("node", "component"))
+    named = distinct.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("id").alias("component"))
+    heads = materialize(named.join(least, "label").select("node", "component"))
     return found.select("id", "t", "node").join(heads, "node").select("id", "t", "node", "component")

@@ -9,10 +9,8 @@ bits verifies them. A key's members never become pairs of rows: inside a task sm
 groups are compared by shifted columns, large ones by a search that takes linked
 members out as it meets them, and a task returns a spanning forest of its links.
 
-Fingerprints of several times 64 bits (tables) take further bits from each hash mixed
-anew, and are cut into more segments. Pairs that differ in fewer bits than twice the
-number of segments are found for certain, others with the chance that one of the segments
-differs in at most one bit (``miss_chance``).
+``without_copies`` goes by the similarity of sets of shingles instead, which the same method
+finds with longer fingerprints and verifies (``near_copies``).
 
 Defined cases: a null or empty text has no shingles and fingerprint 0, and is linked to
 its like as any other; a text of fewer words than a shingle is one shingle; rows with
@@ -22,7 +20,6 @@ other columns are ignored, whatever their names; an empty table gives an empty r
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -32,20 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import BITS, fingerprints_of, forest, group_links
 from .common import WORD, lean, materialize, slices
 from .components import components
 from .near_copies import near_copies
 
 FIND = re.compile(WORD).findall
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-SEED, BITS = 42, 64
-#: Segments of a fingerprint by its tables: of 21 bits, so that four differing bits leave
-#: one that differs in at most one, and of 18 bits.
-SEGMENTS = {1: 3, 2: 7}
+SEED = 42
+#: Segments of a fingerprint, so that four differing bits leave one that differs in at most one.
+SEGMENTS = 3
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
-#: Members of a key up to which they are compared by shifted columns.
-SMALL = 32
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -60,185 +55,97 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
-def remixed(hashes: np.ndarray) -> np.ndarray:
-    """Other 64 bits from each hash (the finaliser of SplitMix64)."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def miss_chance(similarity: float, tables: int) -> float:
-    """Chance that no segment of texts of a Jaccard similarity differs in at most one bit."""
-    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, BITS * tables / SEGMENTS[tables]
-    return (1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1)) ** SEGMENTS[tables]
-
-
-def bits_apart(similarity: float, tables: int, allowance: float = 0.0) -> int:
-    """Differing bits to expect, rounded down, of texts of a Jaccard similarity; and so many of their standard deviations more."""
-    n, p = BITS * tables, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(n * p + allowance * math.sqrt(n * p * (1 - p)))
-
-
-def fingerprint(hashes: np.ndarray) -> int:
-    """Bits set in over half of the hashes."""
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), COUNTED):
-        bits = np.unpackbits(hashes[i : i + COUNTED].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
-
-
-def names(tables: int) -> list[str]:
-    return [f"fp{t}" for t in range(tables)]
-
-
-def fingerprints(docs: DataFrame, width: int, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp0, fp1, ...) for each row of ``docs``; 64 bits each, as signed longs."""
-    fps = names(tables)
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp) for each row of ``docs``; 64 bits each, as signed longs."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found: list[list[int]] = [[] for _ in fps]
+            found, waiting, held = [], [], 0
             for text in part.column(1).to_pylist():
-                hashes = shingle_hashes(text, width)
-                for values in found:
-                    values.append(fingerprint(hashes))
-                    hashes = remixed(hashes)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in found)], ["id", *fps])
+                waiting.append(shingle_hashes(text, width))
+                held += len(waiting[-1])
+                if held > COUNTED:
+                    found.append(fingerprints_of(waiting, 1))
+                    waiting, held = [], 0
+            found.append(fingerprints_of(waiting, 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate(found)[:, 0].view(np.int64))], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long" + "".join(f", {f} long" for f in fps))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def variant_keys(fps: np.ndarray) -> Iterator[np.ndarray]:
-    """One key a fingerprint for each bit: its segment without that bit, and which bit; fps by (fingerprint, table)."""
-    tables = fps.shape[1]
-    segments = SEGMENTS[tables]
-    ends = [round(i * BITS * tables / segments) for i in range(segments + 1)]
+    """One key a fingerprint for each bit: its segment without that bit, and which bit."""
+    ends = [round(i * BITS / SEGMENTS) for i in range(SEGMENTS + 1)]
     for low, high in zip(ends, ends[1:]):
-        word, shift = divmod(low, BITS)
-        value = fps[:, word] >> np.uint64(shift)
-        if shift + high - low > BITS:
-            value = value | fps[:, word + 1] << np.uint64(BITS - shift)
-        value = value & np.uint64((1 << (high - low)) - 1)
+        value = fps >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
         for bit in range(high - low):
             yield (value & ~np.uint64(1 << bit) | np.uint64(low + bit << 32)).view(np.int64)
 
 
-def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Which rows of (fingerprint, table) differ in at most so many bits."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
-
-
-def group_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked members, which connect all that are linked inside a key; keys sorted."""
-    a, b = [], []
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    for i, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        left = np.arange(i, i + n)
-        while left.size:
-            front, left = [left[0]], left[1:]
-            while front and left.size:
-                at = front.pop()
-                near = _close(fps[left], fps[at], most)
-                met = left[near]
-                a.append(np.full(met.size, at))
-                b.append(met)
-                front += met.tolist()
-                left = left[~near]
-    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
-    for d in range(1, SMALL):
-        small = small[small + d < len(keys)]
-        small = small[keys[small] == keys[small + d]]
-        if not small.size:
-            break
-        met = small[_close(fps[small], fps[small + d], most)]
-        a.append(met)
-        b.append(met + d)
-    empty = np.zeros(0, np.int64)
-    return np.concatenate(a or [empty]), np.concatenate(b or [empty])
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between equal nodes' components only once: each node's and its smallest."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = np.arange(len(nodes))
-    x, y = at[: len(a)], at[len(a) :]
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    hung = root != np.arange(len(nodes))
-    return nodes[hung], nodes[root[hung]]
-
-
-def links(distinct: DataFrame, tables: int = 1, most: int = 4) -> DataFrame:
-    """(a, b) of representatives in distinct (fp0, ..., id) that connect all found within ``most`` bits."""
-    fps = names(tables)
-    columns = ["key", *fps, "id"]
+def links(distinct: DataFrame, most: int = 4) -> DataFrame:
+    """(a, b) of representatives in distinct (fp, id) that connect all within ``most`` bits."""
+    if not 0 <= most < 2 * SEGMENTS - 1:
+        raise ValueError(f"{SEGMENTS} segments find fewer than {2 * SEGMENTS - 1} differing bits")
+    columns = ["key", "fp", "id"]
 
     @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for i in range(0, part.num_rows, 2000):
                 cut = [c.to_numpy() for c in part.slice(i, 2000).columns]
-                keys = np.concatenate([*variant_keys(np.stack(cut[:tables], axis=1).view(np.uint64))])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(c, BITS * tables)) for c in cut)], columns)
+                keys = np.concatenate([*variant_keys(cut[0].view(np.uint64))])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(c, BITS)) for c in cut)], columns)
 
     @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [*batches]
         if not parts:
             return
-        keys, *found, ids = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(len(columns)))
+        keys, fps, ids = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(len(columns)))
         del parts
         order = np.argsort(keys, kind="stable")
-        x, y = group_links(keys[order], np.stack(found, axis=1)[order].view(np.uint64), most)
+        x, y = group_links(keys[order], fps[order, None].view(np.uint64), most)
         ids = ids[order]
         a, b = forest(ids[x], ids[y])
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
 
-    keyed = distinct.select(*fps, "id").mapInArrow(index, ", ".join(f"{c} long" for c in columns))
+    keyed = distinct.select("fp", "id").mapInArrow(index, ", ".join(f"{c} long" for c in columns))
     return keyed.repartition("key").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, tables: int = 1, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp0, ..., component) for each row of ``docs``: the smallest id that links lead to, itself included."""
-    fps = names(tables)
-    found = materialize(fingerprints(docs, width, tables, id_col, text_col))  # texts are hashed once
-    distinct = found.groupBy(*fps).agg(F.min("id").alias("id"))
-    linked = components(links(distinct.filter("id is not null"), tables, most)).select(F.col("node").alias("head"), "component")
+def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component) for each row of ``docs``: the smallest id that links lead to, itself included."""
+    found = materialize(fingerprints(docs, width, id_col, text_col))  # texts are hashed once
+    distinct = found.groupBy("fp").agg(F.min("id").alias("id"))
+    linked = components(links(distinct.filter("id is not null"), most)).select(F.col("node").alias("head"), "component")
     heads = distinct.withColumnRenamed("id", "head").join(linked, "head", "left")
-    return found.join(heads.select(*fps, F.coalesce("component", "head").alias("component")), fps).select("id", *fps, "component")
+    return found.join(heads.select("fp", F.coalesce("component", "head").alias("component")), "fp").select("id", "fp", "component")
 
 
 def near_duplicate_ids(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document."""
-    out = near_duplicates(docs, width, 1, most)
-    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    out = near_duplicates(docs, width, most)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def without_copies(docs: DataFrame, width: int = 5, tables: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest id.
 
     Near copies have sets of shingles with at least so much Jaccard similarity, which is
-    verified for each link; ``tables`` of bands find the candidates (see ``near_copies``).
-    Rows go one by one: of an id with several texts only those that are copies of a smaller id.
-    Equal rows of one id count as one document; rows without an id stay.
+    verified for each link. Rows go one by one: of an id with several texts only those that are copies of a
+    smaller id, and of the rows of one id and text all but one, that of the smallest hash of all its
+    columns but maps. Rows without an id always stay. Columns may have any names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter("id is not null")
-    near = materialize(near_copies(rows, lambda text: shingle_hashes(text, width), tables, similarity))
-    dropped = near.filter("id <> component").select(F.col("id").alias("__dropped"), F.col("t").alias("__text")).distinct()
-    kept = docs.join(dropped, (F.col(id_col) == F.col("__dropped")) & (F.xxhash64(text_col) == F.col("__text")), "left_anti")
-    again = near.groupBy("id", "node").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if again else kept
+    as_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own, text = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col)
+    rows = docs.select(as_row).select("row", own.alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    near = materialize(near_copies(rows.filter("id is not null").select("id", "t", "text"), lambda text: shingle_hashes(text, width), similarity))
+    dropped = near.filter("id <> component").select("id", "t").distinct()
+    again = near.groupBy("id", "t").count().filter("count > 1").select("id", "t")
+    kept = rows.select("row", "id", "t").join(dropped, ["id", "t"], "left_anti")
+    single = kept.join(again, ["id", "t"], "left_anti").select("row")
+    hashed = [F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = kept.join(again, ["id", "t"], "left_semi").groupBy("id", "t").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row")).select("row")
+    return single.union(one).select("row.*")
