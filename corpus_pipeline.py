@@ -36,7 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.without_copies(docs, width=5, tables=2, similarity=0.8).select(*docs.columns)
+    return simhash.without_copies(docs, width=5, similarity=0.8)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
