@@ -14,7 +14,7 @@ source that holds a third of all rows is spread over thousands of buckets.
 
 Defined cases: null and empty texts have size 0 and are emitted like other documents; a
 null source is a source of its own, last in order; repeated ids are documents of their
-own; a source without words has target 0 and emits nothing; an empty table gives an
+own, in the order of a hash of their texts; a source without words has target 0 and emits nothing; an empty table gives an
 empty result. Further columns are carried along; internal names start with ``__mix_``.
 """
 
@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def plan(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with the columns __mix_size, __mix_source_size, __mix_target and __mix_copies."""
     size = word_count(F.col(text_col))
-    rows = docs.withColumn("__mix_size", size)
+    rows = docs.withColumn("__mix_size", size).withColumn("__mix_tie", F.xxhash64(text_col))
     bits = F.length(F.bin("__mix_size"))
     # A class for each power of two and the three bits that follow the first.
     step = F.expr("shiftright(__mix_size, cast(greatest(length(bin(__mix_size)) - 4, 0) as int))")
@@ -82,7 +82,7 @@ def plan(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str
         start.alias("__mix_start"),
     )
     offsets = offsets.withColumnsRenamed({"source": "__mix_s", **{k: f"{k}_" for k in keys}})
-    ranked = rows.withColumn("__mix_rank", F.row_number().over(Window.partitionBy(source_col, *keys).orderBy("__mix_size", id_col)))
+    ranked = rows.withColumn("__mix_rank", F.row_number().over(Window.partitionBy(source_col, *keys).orderBy("__mix_size", id_col, "__mix_tie")))
     same = F.col(source_col).eqNullSafe(F.col("__mix_s"))
     for k in keys:
         same &= F.col(k) == F.col(f"{k}_")
