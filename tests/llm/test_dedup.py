@@ -188,3 +188,37 @@ def test_covered_context_with_new_windows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in substrings.remove(docs).collect()} == {1: 0, 2: 0, 3: 20, 4: 13}
     same(substrings.remove(docs, keep_text=False), brute_words(rows, 13))
+
+
+def test_greatest_id_beside_null_ids(spark):
+    """A text of id 2**63 - 1 and one without an id share neither spans nor an identity."""
+    rnd = random.Random(21)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    top = (1 << 63) - 1
+    rows = [(1, a), (top, f"{a} {b}"), (None, c), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {w[3] for w in brute_words([(1, a), (1 << 61, f"{a} {b}"), (None, c), (None, b)], 13)}
+    got = substrings.remove(docs, keep_text=False).collect()
+    assert {r["kept_sha256"] for r in got} == want and {(r["doc_id"], r["n_removed"]) for r in got} == {(1, 0), (top, 60), (None, 0), (None, 60)}
+    same(suffix_dedup.remove(docs, keep_bytes=False), brute_bytes(rows, 200))
+    for pair in ([(top, a), (None, b)], [(None, a), (top, f"{a} {b}")]):
+        docs = spark.createDataFrame(pair, "doc_id long, text string")
+        removed = {r["doc_id"]: r["n_removed"] for r in substrings.remove(docs).collect()}
+        assert removed == {top: 0, None: 60 if pair[0][0] is None else 0}
+        same(suffix_dedup.remove(docs, keep_bytes=False), brute_bytes(pair, 200))
+
+
+@pytest.mark.parametrize("module", ["sort", "automaton"])
+def test_nothing_goes_without_the_method(module, monkeypatch):
+    """Every removed byte or word is found by the suffix sort or by an automaton; equality only thins out what they get."""
+    if module == "sort":
+        monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda strings, *more: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        resolve = suffix_dedup._resolve(200)
+    else:
+        monkeypatch.setattr(substrings.Automaton, "matches", lambda self, words: [0] * len(words))
+        resolve = substrings._resolve(13)
+    contexts = [b"a b c d e f g h i j k l m n o " * 20] * 4
+    args = np.zeros(4, np.uint64), contexts, np.full(4, 100), np.full(4, 60), np.arange(4), np.zeros(4, np.uint8)
+    assert not [*resolve(*args)]
+    monkeypatch.undo()
+    assert [*(suffix_dedup._resolve(200) if module == "sort" else substrings._resolve(13))(*args)]

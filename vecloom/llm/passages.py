@@ -8,9 +8,9 @@ mostly share theirs, so a text has far fewer anchors than windows.
 1. ``shared`` finds the anchors whose hash occurs in more than one place. A task sends
    each hash once for each slice of texts, however often the slice has it.
 2. ``contexts`` cuts out of the texts what the windows of each such anchor cover and
-   deals it by anchor. Of equal contexts in a slice one is sent; what that decides at
-   once (``settle``) goes back directly.
-3. A resolver compares the contexts of an anchor and returns spans of windows.
+   deals it by anchor. A resolver first compares those of a slice, whose spans go back
+   directly; of equal contexts in a slice one is then sent.
+3. The same resolver compares the contexts of an anchor from all slices.
 What tasks send each other is packed, a row for each slice and receiving task.
 
 Texts are shuffled once, by key; the plan's uses of them share that exchange.
@@ -154,12 +154,11 @@ class Anchors:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """(key, id, text) and, if given, rest: key is the id where an id has one text only, else a hash of both."""
-    by_id = docs.groupBy(id_col).agg((F.min(F.xxhash64(text_col)) != F.max(F.xxhash64(text_col))).alias("d"), F.count(F.lit(1)).alias("n"), F.count(text_col).alias("t"))
-    several = by_id.filter("d or (n <> t and t > 0)").limit(1).count() > 0
+    """(key, id, text) and, if given, rest: key is the id where each has one text only and none is null, else a hash of both."""
+    by_id = docs.groupBy(F.col(id_col).alias("i")).agg((F.min(F.xxhash64(text_col)) != F.max(F.xxhash64(text_col))).alias("d"), F.count(F.lit(1)).alias("n"), F.count(text_col).alias("t"))
+    several = by_id.filter("d or (n <> t and t > 0) or i is null").limit(1).count() > 0
     small_batches(docs.sparkSession)
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    key = F.xxhash64(id_col, text_col) if several else number
+    key = F.xxhash64(id_col, text_col) if several else F.col(id_col).cast("long")
     return docs.select(key.alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias("rest") for c in more))
 
 
@@ -327,20 +326,20 @@ def arrays(column: pa.Array, kinds: list) -> list[list[np.ndarray] | None]:
 
 
 #: Of a context: its route (of its anchor), from its first and its last window to the anchor,
-#: key and id, how many windows' starts and bytes it has.
-CONTEXT_KINDS = ["<u8", "<i4", "<i4", "<i8", "<i8", "<i4", "<i4"]
+#: key and id, whether that is null, how many windows' starts and bytes it has.
+CONTEXT_KINDS = ["<u8", "<i4", "<i4", "<i8", "<i8", np.uint8, "<i4", "<i4"]
 SPANS, SPAN_KINDS = ["starts", "stops"], ["<u4", "<u4"]
 
 
-def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int, settle: Callable, hot: np.ndarray) -> DataFrame:
+def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int, resolve: Callable, sent_of: Callable, hot: np.ndarray) -> DataFrame:
     """PACKED contexts of shared anchors by route, and spans that are decided already by key.
 
     Windows of the anchors with the hashes ``hot`` become contexts of their own, each
     with its own route, so that only equal windows meet and a frequent anchor gathers nothing.
 
-    settle(ids, members) of the equal contexts in a slice says which of them are
-    decided (their windows are all to be removed) and which are sent. Where none is sent
-    one stands for all, without starts of its own.
+    ``resolve`` (see ``resolved``) goes over the slice. sent_of(ids, members) of the equal contexts in a slice
+    says which of them still need what other slices have; the others are spans already. Where
+    none does one stands for all, without starts of its own.
     """
     buckets = partitions(rows)
 
@@ -351,7 +350,8 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
             if not any(found):
                 continue
             units = unit(Texts(part.column(2)))
-            ids = part.column(1).fill_null((1 << 63) - 1).to_numpy()
+            none = part.column(1).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = part.column(1).fill_null(0).to_numpy()
             keys = part.column(0).to_numpy()
             rows, place, before, after = [], [], [], []
             for i, f in enumerate(found):
@@ -378,11 +378,20 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
             for i, t in enumerate(texts):
                 groups.setdefault(t, []).append(i)
             begin = at - b - units.bounds[row]
-            ids_of, row_of, start_of = ids[row].tolist(), row.tolist(), begin.tolist()
-            members_of, starts, counts, decided = [], [], [], []
+            every = np.array(routes, "<u8")
+            by_route = np.argsort(every, kind="stable")
+            first = np.flatnonzero(np.r_[True, every[by_route][1:] != every[by_route][:-1]])
+            several = np.diff(np.r_[first, len(every)])
+            own = by_route[np.repeat(several > 1, several)]
+            decided = []
+            if own.size:
+                for m, low, high in resolve(every[own], [texts[i] for i in own.tolist()], b[own], a[own], ids[row[own]], none[row[own]]):
+                    m = own[m]
+                    decided.append((keys[row[m]], begin[m] + low, begin[m] + high))
+            ids_of, row_of, start_of = [*zip(none[row].tolist(), ids[row].tolist())], row.tolist(), begin.tolist()
+            members_of, starts, counts = [], [], []
             for members in groups.values():
-                done, sent = settle([ids_of[i] for i in members], members) if len(members) > 1 else ((), members)
-                decided += done
+                sent = sent_of([ids_of[i] for i in members], members) if len(members) > 1 else members
                 if not sent:
                     members_of.append(members[0])
                     counts.append(0)
@@ -396,7 +405,7 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
             m, n = np.array(members_of, np.int64), np.array(counts, np.int64)
             route = np.array([routes[i] for i in members_of], "<u8")
             lengths = np.array([len(texts[i]) for i in members_of], "<i4")
-            fixed = [route, b[m].astype("<i4"), a[m].astype("<i4"), keys[row[m]], ids[row[m]], n.astype("<i4"), lengths]
+            fixed = [route, b[m].astype("<i4"), a[m].astype("<i4"), keys[row[m]], ids[row[m]], none[row[m]], n.astype("<i4"), lengths]
             first, places = np.cumsum(n) - n, np.array(starts, "<u4")
             bucket = bucket_of(route, buckets)
             by_bucket = np.argsort(bucket, kind="stable")
@@ -408,8 +417,8 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
                 data = np.frombuffer(b"".join([texts[k] for k in m[own].tolist()]), np.uint8)
                 out.append((int(bucket[own[0]]), 0, pack([*(c[own] for c in fixed), places[np.repeat(first[own], n[own]) + step], data])))
             if decided:
-                d = np.sort(np.array(decided, np.int64))
-                out += dealt(bucket_of(keys[row[d]], buckets), 1, [keys[row[d]], begin[d].astype("<u4"), (begin + b - a + size)[d].astype("<u4")])
+                to, low, high = (np.concatenate(c) for c in zip(*decided))
+                out += dealt(bucket_of(to, buckets), 1, [to, low.astype("<u4"), high.astype("<u4")])
             yield packed_rows(out)
 
     frequent = rows.sparkSession.sparkContext.broadcast(hot)
@@ -420,8 +429,8 @@ def contexts(rows: DataFrame, found: DataFrame, unit: type, size: int, gram: int
 def resolved(sent: DataFrame, resolve: Callable) -> DataFrame:
     """(key, SPANS): spans decided before, and those that resolve makes of the contexts of each route.
 
-    resolve(routes, contexts, anchors, nearests, ids) gets the contexts of a task
-    sorted by route and yields arrays (context, first, stop): runs of units to remove.
+    resolve(routes, contexts, anchors, nearests, ids, none) gets contexts sorted by route
+    and yields arrays (context, first, stop): runs of units to remove. none: whose id is null.
     """
     buckets = partitions(sent)
 
@@ -438,14 +447,14 @@ def resolved(sent: DataFrame, resolve: Callable) -> DataFrame:
                     places.append(p)
                     data.append(d.tobytes())
         if fixed:
-            route, anchor, nearest, keys, ids, n, lengths = (np.concatenate(c) for c in zip(*fixed))
+            route, anchor, nearest, keys, ids, none, n, lengths = (np.concatenate(c) for c in zip(*fixed))
             place, whole = np.concatenate(places), b"".join(data)
             del fixed, places, data
             n, lengths = n.astype(np.int64), lengths.astype(np.int64)
             first, ends = np.cumsum(n) - n, np.cumsum(lengths)
             order = np.argsort(route, kind="stable")
             texts = [whole[a:b] for a, b in zip((ends - lengths)[order].tolist(), ends[order].tolist())]
-            for rows, begin, stop in resolve(route[order], texts, anchor[order].astype(np.int64), nearest[order].astype(np.int64), ids[order]):
+            for rows, begin, stop in resolve(route[order], texts, anchor[order].astype(np.int64), nearest[order].astype(np.int64), ids[order], none[order]):
                 own = order[rows]
                 step = np.arange(int(n[own].sum())) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
                 at = place[np.repeat(first[own], n[own]) + step]

@@ -2,8 +2,8 @@
 
 A window is 13 consecutive words. A word is removed if a window that covers it also
 starts in a document with a smaller id. Candidate windows come from shared anchors (see
-``passages``), whose contexts are dealt by anchor into shards, so that equal windows
-meet in one shard. A shard goes through its documents by id: each context is streamed
+``passages``), whose contexts make a shard for each anchor: first of each slice of texts, then
+of all slices, dealt by anchor, so that equal windows meet. A shard goes through its documents by id: each context is streamed
 through the suffix automaton of all smaller documents' contexts, whose matching
 statistics are the longest match that ends at each word; where they reach 13, the
 maximal span is removed. Then the context joins the automaton, unless every
@@ -99,33 +99,41 @@ def spans(statistics: list[int], size: int) -> list[tuple[int, int]]:
     return found
 
 
-def _settle(ids: list[int], members: list[int]) -> tuple[list[int], list[int]]:
-    """Of equal contexts, those of other documents than the smallest are decided."""
+def _sent(ids: list, members: list[int]) -> list[int]:
+    """Of equal contexts in a slice, those of the smallest document; the automaton of the slice has matched the others."""
     least = min(ids)
-    return [m for i, m in zip(ids, members) if i != least], [m for i, m in zip(ids, members) if i == least]
+    return [m for i, m in zip(ids, members) if i == least]
 
 
 def _resolve(size: int):
-    def resolve(routes, contexts, anchors, nearests, ids) -> Iterator[tuple]:
-        order = np.lexsort((ids, routes))
+    def resolve(routes, contexts, anchors, nearests, ids, none) -> Iterator[tuple]:
+        order = np.lexsort((ids, none, routes))
         edges = np.flatnonzero(np.r_[True, routes[order][1:] != routes[order][:-1], True])
+        name = [*zip(none.tolist(), ids.tolist())]
         out: list[tuple[int, int, int]] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             rows = order[a:b].tolist()
-            if ids[rows[0]] == ids[rows[-1]]:
+            if name[rows[0]] == name[rows[-1]]:
                 continue
             shard, waiting, now = Automaton(), [], None
+            whole: dict[bytes, int] = {}
             for row in rows:
-                if ids[row] != now:
+                if name[row] != now:
                     for words in waiting:
                         shard.add(words)
-                    waiting, now = [], ids[row]
-                words = contexts[row].split(b" ")
+                    waiting, now = [], name[row]
+                text = contexts[row]
+                if text in whole:  # the automaton has matched every window of it before, and only grows
+                    out.append((row, 0, whole[text]))
+                    continue
+                words = text.split(b" ")
                 statistics = shard.matches(words)
                 out += [(row, i, j) for i, j in spans(statistics, size)]
                 # Spans that touch may cover all words though windows between them are new.
                 if any(n < size for n in statistics[size - 1 :]):
                     waiting.append(words)
+                else:
+                    whole[text] = len(words)
             if len(out) > 50_000:
                 yield tuple(map(np.array, zip(*out)))
                 out = []
@@ -145,7 +153,7 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     rows = passages.keyed(docs, id_col, text_col, rest)
     found, hot = passages.shared(rows, Words, size, GRAM, passages.hot_from(rows))
-    sent = passages.contexts(rows, found, Words, size, GRAM, _settle, hot)
+    sent = passages.contexts(rows, found, Words, size, GRAM, _resolve(size), _sent, hot)
     removed = passages.resolved(sent, _resolve(size))
     joined = passages.with_found(rows, removed)
     schema = f"id {kind}, rest {joined.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text

@@ -1,8 +1,8 @@
 """Suffix-array dedup of byte strings.
 
 Every byte that a 200-byte string covers which also starts elsewhere is removed.
-Candidates come from shared anchors (see ``passages``); their contexts are dealt by
-anchor, so that equal strings meet in one task. There the suffixes that start at the
+Candidates come from shared anchors (see ``passages``); their contexts are compared within
+each slice of texts and then dealt by anchor, so that equal strings meet in one task. The suffixes that start at the
 anchor are sorted, and so are the prefixes that end there, read backwards: a mergesort
 whose comparisons find the common extension by binary search over prefix polynomial
 hashes, so each takes a logarithmic number of steps. All groups are sorted together, a
@@ -168,13 +168,13 @@ def repeated_windows(strings: list[bytes], groups: np.ndarray, anchors: np.ndarr
     return np.concatenate(found_s), np.concatenate(found_o)
 
 
-def _settle(ids: list[int], members: list[int]) -> tuple[list[int], list[int]]:
-    """Equal contexts in different places decide each other."""
-    return members, []
+def _sent(ids: list, members: list[int]) -> list[int]:
+    """Equal contexts in a slice have decided each other there."""
+    return []
 
 
 def _resolve(size: int):
-    def resolve(routes, contexts, anchors, nearests, ids) -> Iterator[tuple]:
+    def resolve(routes, contexts, anchors, nearests, ids, none) -> Iterator[tuple]:
         edges = np.flatnonzero(np.r_[True, routes[1:] != routes[:-1], True]).tolist()
         strings: list[bytes] = []
         groups: list[int] = []
@@ -194,28 +194,30 @@ def _resolve(size: int):
                 strings, groups, rows_of, held = [], [], [], 0
 
     def decide(strings, groups, rows_of, anchors, nearests) -> Iterator[tuple]:
-        first = np.array([r[0] for r in rows_of])
-        # A context that came more than once is repeated throughout.
-        many = [(row, 0, len(s)) for s, rows in zip(strings, rows_of) if len(rows) > 1 for row in rows]
-        if many:
-            yield tuple(map(np.array, zip(*many)))
+        # A context that came more than once is sorted twice, which is enough to find all of it repeated.
+        times = np.array([min(2, len(r)) for r in rows_of])
+        of = np.repeat(np.arange(len(strings)), times)
+        twin = np.r_[False, of[1:] == of[:-1]]
+        groups = groups[of]
         # Those alone in their group have nothing to be compared with.
         sizes = np.diff(np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]))
         open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
         if not open_.size:
             return
-        string, offset = repeated_windows([strings[i] for i in open_.tolist()], groups[open_], anchors[first[open_]].astype(np.int64), nearests[first[open_]].astype(np.int64), size)
-        order = np.lexsort((offset, string))
-        string, offset = string[order], offset[order]
+        first = np.array([r[0] for r in rows_of])[of[open_]]
+        string, offset = repeated_windows([strings[i] for i in of[open_].tolist()], groups[open_], anchors[first].astype(np.int64), nearests[first].astype(np.int64), size)
+        once = ~twin[open_][string]
+        string, offset = of[open_][string[once]], offset[once]
         if not string.size:
             return
+        order = np.lexsort((offset, string))
+        string, offset = string[order], offset[order]
         new = np.r_[True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)]
         starts = np.flatnonzero(new)
         stops = np.r_[starts[1:], len(string)] - 1
-        single = np.array([len(rows_of[i]) == 1 for i in open_.tolist()])[string[starts]]
-        starts, stops = starts[single], stops[single]
-        if starts.size:
-            yield first[open_][string[starts]], offset[starts], offset[stops] + size
+        many = np.array([len(r) for r in rows_of])[string[starts]]
+        rows = np.array([row for i in string[starts].tolist() for row in rows_of[i]])
+        yield rows, np.repeat(offset[starts], many), np.repeat(offset[stops] + size, many)
 
     return resolve
 
@@ -228,7 +230,7 @@ def remove(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     rows = passages.keyed(docs, id_col, text_col)
     found, hot = passages.shared(rows, Bytes, size, GRAM)
-    sent = passages.contexts(rows, found, Bytes, size, GRAM, _settle, hot)
+    sent = passages.contexts(rows, found, Bytes, size, GRAM, _resolve(size), _sent, hot)
     removed = passages.resolved(sent, _resolve(size))
     joined = passages.with_found(rows, removed)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, stops array<long>, kept binary" * keep_bytes
