@@ -12,6 +12,15 @@ kept; its result is written as Parquet to the shared folder and read again.
   without a word go.
 * mixing: documents are repeated or left out so that sources meet their target weights.
 * byte_bpe: ids of every text, and hashes of them and of the bytes they decode to.
+
+Defined cases, stage by stage. Null and empty texts: have no language and go in the first stage; in the
+later ones, called by themselves, they equal each other and one of each group stays (near_dedup), stay as they are
+(substring_dedup), are emitted like others (mixing) and have no ids (byte_bpe). Null ids: stay in
+near_dedup; come after every other id in substring_dedup and never before each other; are ids like others elsewhere. Null languages
+aren't learned; a null source is a source of its own. Ties: languages by name, near copies and shared windows by
+the smallest id, equal sizes in a source by id and a hash of the text. Repeated rows: one of each id and text
+stays (near_dedup); rows of equal id and text are one document (substring_dedup) and several (mixing, byte_bpe). Very long texts are handled
+whole, in one task each. Extra columns may have any names; they are kept by all stages but the last. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +30,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from vecloom.llm import byte_bpe, language, mixing, simhash, substrings
 from vecloom.llm.common import materialize
@@ -29,10 +39,32 @@ from vecloom.llm.common import materialize
 LEAST_SCORE = 0.5
 
 
+def fresh(names: list[str], columns: list[str]) -> list[str]:
+    """The names, each with underscores in front until ``columns`` doesn't have it, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that a stage uses, and ``row`` with the others, so that no names clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*others).alias("row"))
+
+
+def together(found: DataFrame, docs: DataFrame, used: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` again: those in ``used`` as given, the others from ``row``."""
+    return found.select(*((used[c] if c in used else F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
-    found = language.predict(docs, language.fit(docs, vocabulary), vocabulary)
-    return found.filter((F.col("__lang_pred") != language.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    best, share = fresh(["best", "share"], docs.columns)
+    found = language.predict(docs, language.fit(docs, vocabulary), vocabulary, names=(best, share))
+    return found.filter((F.col(best) != language.UNDETERMINED) & (F.col(share) >= LEAST_SCORE)).drop(best, share)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +72,15 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substrings.remove(docs, size=13, keep_text=True).filter("n_words = 0 or n_removed < n_words")
-    length = F.when(F.col("n_removed") > 0, F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", length).withColumnRenamed("__kept", "text").select(*docs.columns)
+    found = substrings.remove(apart(docs, "doc_id", "text"), size=13, keep_text=True).filter("n_words = 0 or n_removed < n_words")
+    n_chars = F.col("row").getField("n_chars")
+    length = F.when(F.col("n_removed") > 0, F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(n_chars)
+    return together(found, docs, {"doc_id": F.col("doc_id"), "text": F.col("__kept"), "n_chars": length})
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, seed=42)
+    used = ("doc_id", "text", "source")
+    return together(mixing.mix(apart(docs, *used), seed=42), docs, {c: F.col(c) for c in used})
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
