@@ -66,6 +66,37 @@ def test_run_is_the_stages(spark, corpus):
     assert a == b and len(a) > 20
 
 
+def test_names_do_not_clash(spark, corpus):
+    """Every name a stage uses inside, as an extra column of all rows: stages keep them and decide alike."""
+    from pyspark.sql import functions as F
+
+    folder, *_ = corpus
+    plain = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id % 3 <> 1")
+    names = ["n_words", "n_removed", "kept_sha256", "__kept", "kept", "rest", "row", "key", "id", "t", "node", "component", "found", "best", "share", "__lang_pred", "__score"]
+    names += ["__dropped", "__text", "__mix_size", "__mix_rank", "__mix_copies", "__mix_source", "__mix_i", "__mix_tie", "label", "fp0", "n", "count"]
+    odd = plain.select("*", *(F.lit(7 + i).alias(c) for i, c in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        a, b = stage(spark, plain, folder), stage(spark, odd, folder)
+        assert b.columns == odd.columns
+        assert sorted(map(str, b.select(*plain.columns).collect())) == sorted(map(str, a.select(*plain.columns).collect()))
+        assert b.select(*names).distinct().collect() == [tuple(range(7, 7 + len(names)))]
+
+
+def test_stages_with_odd_rows(spark, odd, odd_rows):
+    """Null ids, texts and sources, repeated rows and ids, an empty and a very long text, in every stage by itself."""
+    from pyspark.sql import functions as F
+
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.when(F.col("doc_id") < 200, "s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    left = {name: corpus_pipeline.materialize(stage(spark, docs, "")) for name, stage in corpus_pipeline.STAGES}
+    none = sum(i is None for i, _ in odd_rows)
+    ids = {name: [r["doc_id"] for r in df.select("doc_id").collect()] for name, df in left.items()}
+    assert not {300, 301, 302, 303} & set(ids["language"]) and len(ids["byte_bpe"]) == len(odd_rows)
+    assert ids["near_dedup"].count(None) == none and ids["near_dedup"].count(310) == 1 and {300, 203, 304} <= set(ids["near_dedup"]) and not {301, 302, 303} & set(ids["near_dedup"])
+    texts = {r["doc_id"]: r["text"] for r in left["substring_dedup"].filter("doc_id is not null").collect()}
+    assert texts[300] is None and texts[301] == "" and len(texts[203].split()) == 20_000
+    assert set(ids["mixing"]) <= {i for i, _ in odd_rows} and len(ids["mixing"]) > 10
+
+
 def test_empty_documents(spark, nothing, tmp_path):
     nothing.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
