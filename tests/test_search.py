@@ -152,7 +152,7 @@ def test_index_invariants(spark, scenario):
     assert (built.n, built.dim, built.nlist) == (6000, 24, 32)
     assert built.postings.select("vec_id").distinct().count() == built.postings.count() == 6000
     assert built.lists.selectExpr("sum(count)").first()[0] == 6000 and built.lists.count() == 32
-    gaps = built.postings.groupBy("list_id").agg({"slot": "max", "vec_id": "count"}).filter("`max(slot)` + 1 <> `count(vec_id)`")
+    gaps = index.slots(built.postings).groupBy("list_id").agg({"slot": "max", "vec_id": "count"}).filter("`max(slot)` + 1 <> `count(vec_id)`")
     assert gaps.count() == 0
     assert index.physical(built).groupBy("page", "offset").count().filter("count > 1").count() == 0
     assert index.load_index(spark, path).n == 6000
@@ -226,3 +226,38 @@ def test_trained_search_reaches_its_recall(spark, sf):
     found = catalog.QUERIES["recall_trained"](spark, f"/root/testdata/{sf}").first()
     print("RECALL", sf, found)
     assert found["recall"] >= 0.9 and found["nprobe"] <= found["nlist"]
+
+
+def test_many_queries_are_joined_not_sent(spark, scenario):
+    """Beyond what may be sent probes meet postings by list: the same results, without a broadcast of queries, from split lists too."""
+    x, q, vectors, queries, built, _ = scenario
+    want = lists_of(search.ivf_search(built, queries, 10, 4))
+    for rows in (100_000, 50):
+        search.PART_ROWS, before = rows, search.PART_ROWS
+        try:
+            assert lists_of(search.ivf_search(built, queries, 10, 4, sent=1)) == want
+        finally:
+            search.PART_ROWS = before
+
+
+@pytest.mark.parametrize("shift", [1, -5, 10**15])
+def test_samples_of_ids_of_any_kind(spark, shift):
+    x = clusters(3000, 6, 5)
+    ids = np.random.default_rng(3).permutation(10**6)[:3000] * 977 + shift
+    v = table(spark, x, ids=ids)
+    sample = kmeans.stride_sample(v, 500)
+    assert sample.count() == sample.select("vec_id").distinct().count() == 500
+    centroids, _ = kmeans.train(v, 5, iters=2)
+    assert len(centroids) == 5
+    assert kmeans.stride_sample(v, 9000).count() == 3000
+
+
+def test_slots_are_ranks(spark):
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(10**7)[:2000]
+    lists = rng.choice([0, 0, 0, 0, 1, 2], 2000)
+    df = spark.createDataFrame(list(zip(ids.tolist(), lists.tolist())), "vec_id long, list_id int").repartition(5)
+    got = {r["vec_id"]: r["slot"] for r in index.slots(df).collect()}
+    for k in range(3):
+        own = np.sort(ids[lists == k]).tolist()
+        assert [got[i] for i in own] == list(range(len(own)))

@@ -91,9 +91,16 @@ def run(a: argparse.Namespace) -> None:
             search.ivf_search(built, queries, a.k, a.nprobe).write.format("noop").mode("overwrite").save()
             times.append(time.monotonic() - start)
         hits = metrics.recall(search.ivf_search(built, asked, a.k, a.nprobe), truth).first()
+        alone = []
+        for i in range(min(a.gt, a.queries, 20)):
+            start = time.monotonic()
+            search.ivf_search(built, queries.filter(f"query_id = {i}"), a.k, a.nprobe).collect()
+            alone.append(1000 * (time.monotonic() - start))
         probes = search.coarse_probe(built, queries, a.nprobe).persist()
         part = search.candidates(built, probes).selectExpr(f"avg(candidates) / {built.n} AS f").first()["f"]
         print(f"{a.queries} queries a batch, k {a.k}, nprobe {a.nprobe} of {built.nlist}: {a.queries / min(times):.1f} queries a second, recall {hits['recall']:.3f}, {100 * part:.2f} % of vectors compared")
+        if alone:
+            print(f"{len(alone)} queries one by one: mean {sum(alone) / len(alone):.1f} ms, p95 {metrics.lower_rank_of(alone, 0.95):.1f} ms")
         frames = mb_to_frames(a.cache_mb)
         for r in cache.simulate(cache.page_trace(built, probes), a.policies.split(","), [frames]).orderBy("policy").collect():
             rate = 100 * r["hits"] / max(1, r["hits"] + r["misses"])

@@ -26,7 +26,7 @@ MOST_BUCKETS, FILE_ROWS = 1024, 2_000_000
 
 @dataclass
 class Index:
-    """Tables of an index. postings: list_bucket, list_id, slot, vec_id, embedding."""
+    """Tables of an index. postings: list_bucket, list_id, vec_id, embedding."""
 
     dim: int
     nlist: int
@@ -49,9 +49,25 @@ def extents(counts: DataFrame, layout: Layout) -> DataFrame:
     return pages.withColumn("start_page", F.coalesce(F.sum("list_pages").over(before), F.lit(0)) + layout.lists_start)
 
 
+#: Ids of a list are ranked in so many spans side by side.
+SPANS = 64
+
+
 def slots(assigned: DataFrame) -> DataFrame:
-    """``assigned`` with the place of each vector in its list, by id."""
-    return assigned.withColumn("slot", F.row_number().over(Window.partitionBy("list_id").orderBy("vec_id")).cast("long") - 1)
+    """``assigned`` with the place of each vector in its list, by id.
+
+    A list is ranked in spans of the ids, between quantiles of all ids, and each span moved on by what the spans before
+    it hold; so a list that has a third of all vectors is many tasks' work.
+    """
+    marks = assigned.agg(F.percentile_approx("vec_id", [i / SPANS for i in range(1, SPANS)], 10_000)).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(marks)))) if marks else F.array().cast("array<bigint>")
+    spanned = assigned.withColumn("span", F.size(F.filter(bounds, lambda m: m < F.col("vec_id"))))
+    counts = spanned.groupBy("list_id", "span").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("list_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each list and span
+    moved = counts.select("list_id", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("list_id", "span").orderBy("vec_id"))
+    ranked = spanned.withColumn("r", rank).join(moved, ["list_id", "span"])
+    return ranked.withColumn("slot", (F.col("base") + F.col("r") - 1).cast("long")).select(*assigned.columns, "slot")
 
 
 def in_memory(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec: str = "embedding") -> Index:
@@ -65,7 +81,7 @@ def in_memory(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id",
     return built
 
 
-def build_index(vectors: DataFrame, path: str, nlist: int = 0, sample: int = 0, iters: int = 10, seed: int = 42, sampling: str = "even", trainer: str = "lloyd", id_col: str = "vec_id", vec: str = "embedding") -> Index:
+def build_index(vectors: DataFrame, path: str, nlist: int = 0, sample: int = 0, iters: int = 10, seed: int | None = 42, sampling: str = "even", trainer: str = "lloyd", id_col: str = "vec_id", vec: str = "embedding") -> Index:
     """Trains, assigns and writes an index; 0 lists or sample: chosen from the number of vectors."""
     dim = dimension(vectors, vec)
     n = vectors.count()
@@ -76,7 +92,7 @@ def build_index(vectors: DataFrame, path: str, nlist: int = 0, sample: int = 0,
         if nlist > n:
             raise VectorError(f"{n} vectors can't make {nlist} lists")
         taken = kmeans.stride_sample(vectors, sample or kmeans.auto_sample(nlist), sampling, n, id_col)
-        centroids = kmeans.train_mllib(taken, nlist, iters, seed, vec)
+        centroids = kmeans.train_mllib(taken, nlist, iters, seed or 0, vec)
         nlist = len(centroids)
     else:
         raise VectorError(f"no such trainer: {trainer}")
@@ -84,10 +100,11 @@ def build_index(vectors: DataFrame, path: str, nlist: int = 0, sample: int = 0,
     session = vectors.sparkSession
     version = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
     session.createDataFrame(kmeans.centroid_table(session, centroids).toArrow()).coalesce(1).write.parquet(f"{version}/centroids")
-    placed = slots(kmeans.assign(vectors, centroids, id_col, vec).drop("dist")).withColumn("list_bucket", F.floor(F.col("list_id") / per).cast("int"))
-    # A large list is written by several tasks, neighbouring slots together.
-    file = F.floor(F.col("slot") / FILE_ROWS)
-    order = placed.repartition("list_bucket", file).sortWithinPartitions("list_bucket", "list_id", "slot")
+    assigned = kmeans.assign(vectors, centroids, id_col, vec).drop("dist").withColumn("list_bucket", F.floor(F.col("list_id") / per).cast("int"))
+    # Postings are shuffled once, by folder and a hash of the id, so that a large list is written by several tasks;
+    # they lie in the order of list and id, and their slots are ranked where they are asked for (``physical``).
+    files = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // FILE_ROWS)))
+    order = assigned.repartition("list_bucket", files).sortWithinPartitions("list_bucket", "list_id", "vec_id")
     order.write.partitionBy("list_bucket").parquet(f"{version}/postings")
     counts = kmeans.list_counts(session.read.parquet(f"{version}/postings").select("list_id"), nlist)
     counts.coalesce(1).write.parquet(f"{version}/lists")
@@ -121,7 +138,7 @@ def _fits(dim: int) -> bool:
 def physical(index: Index) -> DataFrame:
     """(list_id, slot, vec_id, page, offset) of every posting in the paged layout."""
     layout = Layout(index.dim, index.nlist)
-    rows = index.postings if "slot" in index.postings.columns else slots(index.postings)
+    rows = slots(index.postings.select("list_id", "vec_id"))
     starts = index.lists.select("list_id", "start_page")
     placed = rows.select("list_id", "slot", "vec_id").join(starts, "list_id")
     return placed.select("list_id", "slot", "vec_id", layout.entry_page(F.col("start_page"), F.col("slot")).alias("page"), layout.entry_offset(F.col("slot")).alias("offset"))

@@ -36,11 +36,25 @@ def stride_of(n: int, cap: int, sampling: str = "even") -> int:
 
 
 def stride_sample(vectors: DataFrame, cap: int, sampling: str = "even", n: int | None = None, id_col: str = "vec_id") -> DataFrame:
-    """Vectors at every step of dense ids (0 to n - 1), the lowest ``cap`` of them: a filter, which reaches the scan."""
+    """Vectors at every step of the ids in order, the lowest ``cap`` of them.
+
+    Where ids are dense (0 to n - 1) that is a filter, which reaches the scan; whether they are, their least, greatest and distinct
+    count say. Other ids are hashed, and of those whose hash lies in a share of its range the first ``cap`` are
+    taken: an even sample too, whatever the ids look like.
+    """
     count_parameter("cap", cap)
     n = vectors.count() if n is None else n
     step = stride_of(n, cap, sampling)
-    return vectors.filter((F.col(id_col) % step == 0) & (F.col(id_col) < step * cap))
+    low, high, kinds = vectors.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
+    if not n or (low, high, kinds) == (0, n - 1, n):
+        return vectors.filter((F.col(id_col) % step == 0) & (F.col(id_col) < step * cap))
+    # Twice the share that is asked for holds cap rows almost surely; where it doesn't, all rows are ordered.
+    place = F.xxhash64(F.col(id_col), F.lit(0x5EED))
+    share = min(1.0, 2.0 * cap / n + 100.0 / n)
+    near = vectors.filter(place < F.lit(int(-(2**63) + min(share * 2.0**64, 2.0**64 - 2**12))).cast("long")) if share < 1 else vectors
+    if share < 1 and near.count() < min(cap, n):
+        near = vectors
+    return near.orderBy(place, id_col).limit(cap)
 
 
 def seed_centroids(sample: DataFrame, nlist: int, seed: int | None = 42, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -136,11 +150,11 @@ def sums(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec:
     return vectors.select(F.col(vec).cast("array<float>").alias("v")).mapInArrow(run, schema).repartition("list_id").mapInArrow(add, schema)
 
 
-def train(vectors: DataFrame, nlist: int, sample_cap: int = 0, iters: int = 10, seed: int = 42, sampling: str = "even", id_col: str = "vec_id", vec: str = "embedding") -> tuple[np.ndarray, list[float]]:
+def train(vectors: DataFrame, nlist: int, sample_cap: int = 0, iters: int = 10, seed: int | None = 42, sampling: str = "even", id_col: str = "vec_id", vec: str = "embedding") -> tuple[np.ndarray, list[float]]:
     """Centroids (nlist, dim) and the mean squared distance before each update.
 
     Just ``iters`` iterations; a list without vectors is put on a sampled vector that a
-    hash of seed, iteration and list chooses.
+    hash of seed, iteration and list chooses. Without a seed lists start from the first sampled ids.
     """
     count_parameter("nlist", nlist)
     dimension(vectors, vec)
@@ -164,7 +178,7 @@ def train(vectors: DataFrame, nlist: int, sample_cap: int = 0, iters: int = 10,
             new[found] = (total / added["n"].to_numpy()[:, None]).astype(np.float32)
             empty = np.setdiff1d(np.arange(nlist), found)
             if empty.size:
-                again = centroid_matrix(seed_centroids(sample, min(size, empty.size), seed * 1_000_003 + i + 1))
+                again = centroid_matrix(seed_centroids(sample, min(size, empty.size), (seed or 0) * 1_000_003 + i + 1))
                 new[empty] = again[np.arange(empty.size) % len(again)]
             centroids = new
         return centroids, log

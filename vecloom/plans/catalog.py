@@ -15,10 +15,13 @@ from pyspark.sql.column import Column
 
 from ..functions import DUCKDB_L2SQ, Layout, norm, normalized
 from ..operators import cache, exact, index, kmeans, metrics, search, validate
-from ..sources import generate
+from ..session import shared_folder
+from ..sources import generate, rawvec
 
 K, NPROBE, EVERY = 10, 8, 50
 PROBES = (1, 2, 4, 8, 16)
+#: Rounds of the training that SQL follows.
+ITERS = 3
 #: Recall that the trained search is tuned for, on at most so many vectors; a little above 0.9, as it is measured on others than are searched.
 LEAST_RECALL, TUNED = 0.93, 1000
 #: Milliseconds for the latency report; a fixed list.
@@ -258,6 +261,51 @@ def recall_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(probes).cast("long").alias("nprobe"), F.lit(built.nlist).cast("long").alias("nlist"), "hits", "total", rounded("recall"))
 
 
+def trained_start(v: DataFrame) -> tuple[int, dict]:
+    """Lists, and the parameters of a training that SQL can follow: all vectors, from the first ids, ITERS rounds."""
+    n = v.count()
+    return kmeans.auto_lists(n), {"iters": ITERS, "seed": None, "sampling": "stride"}
+
+
+def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole training: values of the centroids after ITERS rounds."""
+    v = vectors(spark, sf_dir)
+    nlist, how = trained_start(v)
+    found = kmeans.centroid_table(spark, kmeans.train(v, nlist, max(nlist, v.count()), **how)[0])
+    each = found.select(F.col("list_id").cast("long"), F.posexplode("centroid").alias("pos", "x"))
+    return each.select("list_id", F.col("pos").cast("long"), F.round(F.col("x").cast("double"), 5).alias("value"))
+
+
+def written_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index built into the shared folder and loaded again."""
+    v, path = vectors(spark, sf_dir), shared_folder(spark, "index")
+    nlist, how = trained_start(v)
+    index.build_index(v, path, nlist, max(nlist, v.count()), **how)
+    return index.load_index(spark, path)
+
+
+def build_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every vector of a written index lies: its list, slot, page and offset."""
+    return index.physical(written_index(spark, sf_dir)).withColumn("list_id", F.col("list_id").cast("long"))
+
+
+def ivf_search_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ivf_search(written_index(spark, sf_dir), query_set(vectors(spark, sf_dir)), K, NPROBE).select("query_id", "rank", "vec_id", rounded("dist"))
+
+
+def ivf_search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by the way for more queries than may be sent to all tasks."""
+    return search.ivf_search(written_index(spark, sf_dir), query_set(vectors(spark, sf_dir)), K, NPROBE, sent=1).select("query_id", "rank", "vec_id", rounded("dist"))
+
+
+def rawvec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as flat files and read again."""
+    path = shared_folder(spark, "rawvec").removeprefix("file:").replace("//", "/")
+    rawvec.write_rawvec(vectors(spark, sf_dir), path, partitions=3)
+    each = rawvec.read_rawvec(spark, path).select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+    return each.select("vec_id", F.col("pos").cast("long"), F.col("value").cast("double"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -265,7 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dim_histogram, seed_centroids, assign_nearest, list_counts, kmeans_update_step, kmeans_mse, layout_extents, posting_slots, coarse_probe,
         ivf_search_batch, ivf_search_expression, ivf_full_probe_equals_exact, recall_at_k, recall_by_nprobe, scan_fraction, page_access_trace,
         trace_disk_mib, latency_p95_lower_rank, cache_policy_sim, open_page_trace, scatter_page_trace, scatter_policy_sim, cache_lru_exact, datagen_clustered, query_workload, mllib_ivf_search,
-        ivf_search_trained, recall_trained,
+        ivf_search_trained, recall_trained, kmeans_train, build_index_roundtrip, ivf_search_written, ivf_search_joined, rawvec_roundtrip,
     )
 }
 
@@ -293,6 +341,24 @@ runs AS (SELECT query_id, 0::BIGINT AS part, 1::BIGINT AS start, ((nlist + {_L.c
 trace AS (SELECT (row_number() OVER (ORDER BY query_id, part, j) - 1)::BIGINT AS seq, query_id, (start + j)::BIGINT AS page, (pages - j - 1)::BIGINT AS readahead
     FROM (SELECT *, unnest(range(pages)) AS j FROM runs WHERE pages > 0))
 """
+#: The training: centroids k0, k1, ...; then the last one's assignment, extents and probes.
+_TRAIN = "k0 AS (SELECT vec_id AS list_id, v AS c FROM e, n WHERE vec_id < nlist)" + "".join(
+    f""",
+b{i} AS (SELECT e.vec_id, k.list_id, {_D(a="v", b="c")} AS dist, v FROM e, k{i} k QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY dist, list_id) = 1),
+u{i} AS (SELECT list_id, pos, (sum(x) / count(*))::FLOAT AS x FROM (SELECT list_id, unnest(range(len(v)))::BIGINT AS pos, unnest(v)::DOUBLE AS x FROM b{i}) GROUP BY 1, 2),
+k{i + 1} AS (SELECT list_id, list(x ORDER BY pos) AS c FROM u{i} GROUP BY 1)"""
+    for i in range(ITERS)
+)
+_BUILT = f"""{_TRAIN},
+ka AS (SELECT e.vec_id, k.list_id, {_D(a="v", b="c")} AS dist, v FROM e, k{ITERS} k QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY dist, list_id) = 1),
+kl AS (SELECT k.list_id, count(ka.vec_id)::BIGINT AS count FROM k{ITERS} k LEFT JOIN ka ON ka.list_id = k.list_id GROUP BY k.list_id),
+kg AS (SELECT list_id, count, ((count + {_L.entries_per_page - 1}) // {_L.entries_per_page})::BIGINT AS list_pages FROM kl),
+kx AS (SELECT list_id, (coalesce(sum(list_pages) OVER (ORDER BY list_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1
+    + (nlist + {_L.centroids_per_page - 1}) // {_L.centroids_per_page} + (nlist + {_L.extents_per_page - 1}) // {_L.extents_per_page})::BIGINT AS start_page FROM kg, n),
+ko AS (SELECT list_id, vec_id, row_number() OVER (PARTITION BY list_id ORDER BY vec_id) - 1 AS slot FROM ka),
+kp AS (SELECT query_id, list_id, {_D(a="q", b="c")} AS cdist FROM q, k{ITERS} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cdist, list_id) <= {NPROBE}),
+ki AS (SELECT kp.query_id, ka.vec_id, {_D(a="q.q", b="ka.v")} AS away, row_number() OVER (PARTITION BY kp.query_id ORDER BY away, ka.vec_id) AS rank
+    FROM kp JOIN ka ON ka.list_id = kp.list_id JOIN q ON q.query_id = kp.query_id QUALIFY rank <= {K})"""
 _RECALL = "SELECT (SELECT count(*) FROM t SEMI JOIN {found} r ON t.query_id = r.query_id AND t.vec_id = r.vec_id)::BIGINT AS hits, (SELECT count(*) FROM t)::BIGINT AS total"
 
 ORACLE_SQL: dict[str, str] = {
@@ -325,5 +391,10 @@ ORACLE_SQL: dict[str, str] = {
     "scatter_page_trace": f"{_WITH}, o AS (SELECT list_id, vec_id, row_number() OVER (PARTITION BY list_id ORDER BY vec_id) - 1 AS slot FROM a) SELECT vec_id AS seq, (start_page + slot // {_L.entries_per_page})::BIGINT AS page FROM o JOIN x USING (list_id)",
     "trace_disk_mib": f"{_WITH} SELECT query_id, count(*)::BIGINT AS pages, round(count(*) * 4096 / (1024.0::DOUBLE * 1024.0::DOUBLE), 6) AS mib FROM trace GROUP BY query_id",
     "latency_p95_lower_rank": f"WITH m AS (SELECT unnest({LATENCIES})::DOUBLE AS ms) SELECT round(avg(ms), 6) AS mean_ms, list_sort(list(ms))[1 + floor(0.95::DOUBLE * (count(*) - 1))::BIGINT] AS p95_ms FROM m",
+    "kmeans_train": f"{_WITH}, {_TRAIN} SELECT list_id, pos, round(x::DOUBLE, 5) AS value FROM u{ITERS - 1}",
+    "build_index_roundtrip": f"{_WITH}, {_BUILT} SELECT list_id, slot, vec_id, (start_page + slot // {_L.entries_per_page})::BIGINT AS page, (slot % {_L.entries_per_page} * {_L.entry_bytes})::BIGINT AS \"offset\" FROM ko JOIN kx USING (list_id)",
+    "ivf_search_written": f"{_WITH}, {_BUILT} SELECT query_id, rank, vec_id, round(away, 6) AS dist FROM ki",
+    "ivf_search_joined": f"{_WITH}, {_BUILT} SELECT query_id, rank, vec_id, round(away, 6) AS dist FROM ki",
+    "rawvec_roundtrip": "SELECT vec_id, unnest(range(len(embedding)))::BIGINT AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings",
     "cache_lru_exact": f"{_WITH}, b AS (SELECT seq, page, lag(seq) OVER (PARTITION BY page ORDER BY seq) AS before, lead(seq) OVER (PARTITION BY page ORDER BY seq) AS later FROM trace), h AS (SELECT a.seq, count(o.seq) AS between_ FROM b a LEFT JOIN b o ON o.seq > a.before AND o.seq < a.seq AND (o.later IS NULL OR o.later > a.seq) WHERE a.before IS NOT NULL GROUP BY a.seq) SELECT count(*) FILTER (between_ < 64)::BIGINT AS hits, ((SELECT count(*) FROM trace) - count(*) FILTER (between_ < 64))::BIGINT AS misses FROM h",
 }
