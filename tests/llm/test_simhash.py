@@ -174,6 +174,27 @@ def test_links_are_those_of_exact_jaccard(spark):
     assert want <= kept and len(kept - want) <= 0.08 * (len(rows) - len(want))
 
 
+def test_sizes_and_parities_put_no_similar_pair_aside():
+    rng = np.random.default_rng(3)
+    kept = {True: [], False: []}
+    for size in (1, 2, 9, 40, 100, 300, 5000):
+        for share in (0.0, 0.05, 0.1, 0.11, 0.12, 0.25, 0.5):
+            for _ in range(10):
+                a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                b = np.union1d(a[int(share * size / 2) :], rng.integers(0, 2**63, int(share * size / 2)).astype(np.uint64))
+                if not b.size:
+                    continue
+                jaccard = np.intersect1d(a, b).size / np.union1d(a, b).size
+                n = [np.array([len(s)]) for s in (a, b)]
+                fits = near_copies.may_fit(*n, near_copies.parities(a)[None], near_copies.parities(b)[None], 0.8)[0]
+                kept[bool(jaccard >= 0.8)].append(bool(fits))
+    assert all(kept[True]) and len(kept[True]) > 100
+    assert sum(kept[False]) < len(kept[False])
+    # A pair at the bound itself, all of it in bins of its own: 4 of 5 shared.
+    a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    assert near_copies.may_fit(np.array([9]), np.array([9]), near_copies.parities(a)[None], near_copies.parities(b)[None], 0.8)[0]
+
+
 def test_segments_and_halves_find_near_fingerprints():
     """Two fingerprints share a variant just where a segment of theirs differs in at most one bit."""
     rng = np.random.default_rng(13)

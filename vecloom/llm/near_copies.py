@@ -4,7 +4,8 @@ Rows of equal sets are one node. A node's fingerprint has TABLES times 64 bits,
 segments; candidates have a segment in which they differ in at most one bit (``miss_chance``), that
 is, an equal variant of it with one bit left out. Half of such a segment is equal, so a node is dealt once for
 each half of each segment, and its variants are made, sorted and joined by equality in the receiving task.
-Candidates whose whole fingerprints lie too far apart for the similarity (``bits_apart``) are put aside.
+Candidates whose whole fingerprints lie too far apart for the similarity (``bits_apart``) are put aside,
+and those whose sizes and parities prove that they can't reach it (``may_fit``), which loses nothing.
 
 A variant's members never become all their pairs at once. First a forest that spans them is
 verified against the sets; then, where members are in different components of those links,
@@ -44,7 +45,11 @@ SMALL = 32
 
 Shingles = Callable[[str | None], np.ndarray]
 FPS = [f"fp{t}" for t in range(TABLES)]
-KINDS = ["<u4", "<i8", "<i8", "<i8", *["<u8"] * TABLES]
+#: Bins of a set's shingles, of which a node has one parity bit each, and their columns.
+BINS = 256
+ODD = [f"odd{i}" for i in range(BINS // 64)]
+WORDS = [*FPS, *ODD]
+KINDS = ["<u4", "<i8", "<i8", "<i8", *["<u8"] * len(WORDS)]
 
 
 def differing(similarity: float) -> float:
@@ -68,27 +73,44 @@ def _node(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes())
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each bin holds an odd number of a set's hashes, in words of 64 bins."""
+    held = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def may_fit(a: np.ndarray, b: np.ndarray, odd_a: np.ndarray, odd_b: np.ndarray, similarity: float) -> np.ndarray:
+    """False only for pairs of sets that can't be that similar, by their sizes and parities.
+
+    Each bin of unlike parity holds an element of one set only, so there are at least as many of those.
+    """
+    unlike = np.bitwise_count(odd_a ^ odd_b).sum(axis=1, dtype=np.int64)
+    # Of a + b elements at most (1 - s) / (1 + s) are in one set only; cross-multiplied, with room for rounding.
+    return (np.minimum(a, b) / np.maximum(a, b) >= similarity) & (unlike * (1 + similarity) <= (a + b) * (1 - similarity) + 1e-6)
+
+
 def _sketches(rows: DataFrame, shingles: Shingles) -> DataFrame:
-    """(id, t, node, n, FPS) of rows (id, t, text)."""
+    """(id, t, node, n, WORDS) of rows (id, t, text)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            nodes, sizes, waiting, held, found = [], [], [], 0, []
+            nodes, sizes, odd, waiting, held, found = [], [], [], [], 0, []
             for text in part.column(2).to_pylist():
                 own = np.unique(shingles(text))
                 nodes.append(_node(own))
                 sizes.append(len(own))
+                odd.append(parities(own))
                 waiting.append(own)
                 held += len(own)
                 if held > COUNTED:
                     found.append(fingerprints_of(waiting, TABLES))
                     waiting, held = [], 0
             found.append(fingerprints_of(waiting, TABLES))
-            fps = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], ["id", "t", "node", "n", *FPS])
+            words = np.concatenate([np.concatenate(found), np.stack(odd)], axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in words.T)], ["id", "t", "node", "n", *WORDS])
 
-    return rows.select("id", "t", "text").mapInArrow(run, "id long, t long, node long, n long" + "".join(f", {f} long" for f in FPS))
+    return rows.select("id", "t", "text").mapInArrow(run, "id long, t long, node long, n long" + "".join(f", {w} long" for w in WORDS))
 
 
 def _segments(fps: np.ndarray) -> Iterator[np.ndarray]:
@@ -102,7 +124,7 @@ def _segments(fps: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
-    """PACKED rows (node, n, label, FPS), once for each half of each segment, by that half."""
+    """PACKED rows (node, n, label, WORDS), once for each half of each segment, by that half."""
     buckets = partitions(nodes)
 
     @lean
@@ -110,7 +132,7 @@ def _dealt(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, DEALT):
                 node, n, label, *words = (c.to_numpy() for c in batch.slice(i, DEALT).columns)
-                fps = np.stack(words, axis=1).view(np.uint64)
+                fps = np.stack(words[:TABLES], axis=1).view(np.uint64)
                 routes = []
                 for s, value in enumerate(_segments(fps)):
                     for half in (0, 1):
@@ -118,10 +140,10 @@ def _dealt(nodes: DataFrame) -> DataFrame:
                         routes.append(own + np.uint64((2 * s + half) << HALF))
                 route = np.concatenate(routes)
                 times = 2 * SEGMENTS
-                columns = [route.astype("<u4"), *(np.tile(c, times) for c in (node, n, label)), *(np.tile(c, times) for c in fps.T)]
+                columns = [route.astype("<u4"), *(np.tile(c, times) for c in (node, n, label)), *(np.tile(c.view(np.uint64), times) for c in words)]
                 yield packed_rows([*dealt(bucket_of(route, buckets), 0, columns)])
 
-    return nodes.select("node", "n", "label", *FPS).mapInArrow(deal, PACKED).repartitionById(buckets, "bucket")
+    return nodes.select("node", "n", "label", *WORDS).mapInArrow(deal, PACKED).repartitionById(buckets, "bucket")
 
 
 def _variants(route: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
@@ -135,13 +157,11 @@ def _variants(route: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
         yield (route.astype(np.uint64) << np.uint64(HALF) | other & ~np.uint64(1 << bit)).view(np.int64)
 
 
-def _fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of such sizes can be that similar."""
-    return np.minimum(a, b) / np.maximum(a, b) >= similarity
-
-
 def _met(nodes: DataFrame, similarity: float, apart: bool) -> DataFrame:
-    """(a, b) of nodes (node, n, label, FPS) that share a variant and lie near each other: a forest for each variant, or with apart all of different labels."""
+    """(a, b, fits) of nodes (node, n, label, WORDS) that share a variant and lie near each other.
+
+    A forest for each variant with and without those that fit (``may_fit``), or with apart all that fit of different labels.
+    """
     most = bits_apart(similarity)
 
     @lean
@@ -153,21 +173,24 @@ def _met(nodes: DataFrame, similarity: float, apart: bool) -> DataFrame:
         del parts
         by = np.lexsort((node, route))
         route, node, n, label = route[by], node[by], n[by], label[by]
-        fps = np.stack([w[by] for w in words], axis=1)
+        fps, odd = (np.stack([w[by] for w in some], axis=1) for some in (words[:TABLES], words[TABLES:]))
         found: list[np.ndarray] = []
         for keys in _variants(route, fps):
             order = np.argsort(keys, kind="stable")
             x, y = _apart(keys[order], fps, label, order, most) if apart else group_links(keys[order], fps[order], most)
             if not apart:
                 x, y = order[x], order[y]
-            fits = _fit(n[x], n[y], similarity)
-            pairs = np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)[fits]
+            fits = may_fit(n[x], n[y], odd[x], odd[y], similarity)
+            pairs = np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), fits], axis=1)
+            if apart:
+                pairs = pairs[fits]
             found.append(np.unique(pairs, axis=0) if len(pairs) else pairs)
         pairs = np.unique(np.concatenate(found), axis=0)
         for i in range(0, len(pairs), SENT):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs[i : i + SENT].T], ["a", "b"])
+            a, b, fits = pairs[i : i + SENT].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(fits.astype(bool))], ["a", "b", "fits"])
 
-    return _dealt(nodes).mapInArrow(meet, "a long, b long").distinct()
+    return _dealt(nodes).mapInArrow(meet, "a long, b long, fits boolean").distinct()
 
 
 def _apart(keys: np.ndarray, fps: np.ndarray, labels: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,16 +260,16 @@ def near_copies(rows: DataFrame, shingles: Shingles, similarity: float) -> DataF
     """(id, t, node, component) for each of ``rows`` (id, t, text; ids not null, t a hash of the text): the smallest id that links lead to."""
     small_batches(rows.sparkSession)
     found = materialize(_sketches(rows, shingles))
-    firsts = [F.first(c).alias(c) for c in FPS]  # equal for equal sets
+    firsts = [F.first(c).alias(c) for c in WORDS]  # equal for equal sets
     distinct = materialize(found.groupBy("node").agg(F.min("id").alias("id"), F.min("t").alias("t"), F.min("n").alias("n"), *firsts))
     full = distinct.filter("n > 0")
     forest = materialize(_met(full.withColumn("label", F.col("node")), similarity, apart=False))
-    links = _verified(forest, rows, distinct, shingles, similarity)
+    links = _verified(forest.filter("fits").select("a", "b"), rows, distinct, shingles, similarity)
     linked = components(links).select("node", F.col("component").alias("label"))
-    # Whoever has a candidate is in the forest; the others need no second look.
+    # Whoever has a candidate is in the forest, if only by a pair that can't fit; the others need no second look.
     met = forest.select(F.col("a").alias("node")).union(forest.select(F.col("b").alias("node"))).distinct()
     labelled = full.join(met, "node", "left_semi").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = _verified(materialize(_met(labelled, similarity, apart=True)), rows, distinct, shingles, similarity)
+    more = _verified(materialize(_met(labelled, similarity, apart=True).select("a", "b")), rows, distinct, shingles, similarity)
     linked = components(links.union(more))
     named = distinct.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
