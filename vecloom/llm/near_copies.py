@@ -270,7 +270,8 @@ def near_copies(rows: DataFrame, shingles: Shingles, similarity: float) -> DataF
     met = forest.select(F.col("a").alias("node")).union(forest.select(F.col("b").alias("node"))).distinct()
     labelled = full.join(met, "node", "left_semi").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     more = _verified(materialize(_met(labelled, similarity, apart=True).select("a", "b")), rows, distinct, shingles, similarity)
-    linked = components(links.union(more))
+    # The stars found before stand for all links that led to them.
+    linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     named = distinct.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
     heads = materialize(named.join(least, "label").select("node", "component"))
