@@ -241,3 +241,58 @@ def test_rows_of_one_id_go_one_by_one(spark):
     texts = [" ".join(f"{c}{x}" for x in range(50)) for c in "ab"]
     docs = spark.createDataFrame([(1, texts[0]), (2, texts[0]), (2, texts[1])], "doc_id long, text string")
     assert {tuple(r) for r in simhash.without_copies(docs).collect()} == {(1, texts[0]), (2, texts[1])}
+
+
+def test_a_pair_counts_in_one_variant_that_it_shares():
+    rng = np.random.default_rng(17)
+    for flips in (0, 1, 5, 30, 60, 150):
+        a = rng.integers(0, 2**63, (1, near_copies.TABLES)).astype(np.uint64)
+        b = a.copy()
+        for at in rng.choice(near_copies.TABLES * 64, flips, replace=False).tolist():
+            b[0, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        shared = []
+        values = [[int(v[0]) for v in near_copies._segments(fps)] for fps in (a, b)]
+        for s, (x, y) in enumerate(zip(*values)):
+            for half in (0, 1):
+                unlike = ((x ^ y) & 1023, (x ^ y) >> 10)
+                shared += [(s, half, bit) for bit in range(10) if not unlike[half] and not unlike[1 - half] & ~(1 << bit)]
+        got = tuple(int(c[0]) for c in near_copies.first_shared(a ^ b))
+        assert got == shared[0] if shared else got[0] == -1
+
+
+def test_forests_connect_all_candidates_and_send_each_pair_once(spark):
+    """A large group of near fingerprints, and pairs beside it, against all pairs."""
+    rng = np.random.default_rng(19)
+    heads = rng.integers(0, 2**63, (40, near_copies.TABLES)).astype(np.uint64)
+    fps = np.repeat(heads, [120] + [3] * 39, axis=0)
+    for row in fps:
+        for at in rng.choice(near_copies.TABLES * 64, 12, replace=False).tolist():
+            row[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    rows = [(i, 10, i % 5, *f.view(np.int64).tolist(), *[0] * len(near_copies.ODD)) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["node", "n", "label", *near_copies.WORDS]))
+    most = near_copies.bits_apart(0.8)
+    want = set()
+    for i in range(len(fps)):
+        near = np.flatnonzero(bits.close(fps[i + 1 :], fps[i], most)) + i + 1
+        if near.size:
+            segment, _, _ = near_copies.first_shared(fps[near] ^ fps[i])
+            want |= {(i, int(j)) for j in near[segment >= 0]}
+    assert len(want) > 1000
+    found = [(r["a"], r["b"]) for r in near_copies._met(nodes, 0.8, apart=True).collect()]
+    assert len(found) == len({*found}) and {*found} == {(a, b) for a, b in want if a % 5 != b % 5}
+    found = [(r["a"], r["b"]) for r in near_copies._met(nodes, 0.8, apart=False).collect()]
+    assert len(found) == len({*found}) and {*found} <= want and len(found) < len(want) / 2
+
+    def groups(pairs):
+        parent = list(range(len(fps)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(len(fps))]
+
+    assert groups(found) == groups(want)

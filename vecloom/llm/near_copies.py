@@ -9,7 +9,7 @@ and those whose sizes and parities prove that they can't reach it (``may_fit``),
 
 A variant's members never become all their pairs at once. First a forest that spans them is
 verified against the sets; then, where members are in different components of those links,
-all candidates between them are. So the components are those of all candidates that reach the
+all candidates between them are. Either way a pair counts only in the first variant that it shares. So the components are those of all candidates that reach the
 similarity, and a large group of near copies takes about as many comparisons as it has members.
 
 Defined cases: sets without shingles equal each other and nothing else; nodes are named by
@@ -157,10 +157,30 @@ def _variants(route: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
         yield (route.astype(np.uint64) << np.uint64(HALF) | other & ~np.uint64(1 << bit)).view(np.int64)
 
 
+def first_shared(unlike: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, half of the route and bit of the first variant that pairs share, of the bits in which they differ.
+
+    The segment is -1 where they share none.
+    """
+    segment = np.full(len(unlike), -1, np.int64)
+    odd = np.zeros(len(unlike), np.uint64)
+    for s, value in enumerate(_segments(unlike)):
+        own = (segment < 0) & (np.bitwise_count(value) <= 1)
+        segment[own] = s
+        odd[own] = value[own]
+    low = odd & np.uint64((1 << HALF) - 1)
+    # Equal segments share all variants; with a bit in the lower half the pair meets by the upper one.
+    half = (low != 0).astype(np.int64)
+    place = np.where(half == 1, low, odd >> np.uint64(HALF))
+    return segment, half, np.bitwise_count(np.maximum(place, np.uint64(1)) - np.uint64(1)).astype(np.int64)
+
+
 def _met(nodes: DataFrame, similarity: float, apart: bool) -> DataFrame:
-    """(a, b, fits) of nodes (node, n, label, WORDS) that share a variant and lie near each other.
+    """(a, b, fits) of nodes (node, n, label, WORDS) that share a variant and lie near each other, each pair once.
 
-    A forest for each variant with and without those that fit (``may_fit``), or with apart all that fit of different labels.
+    Forests of those that fit (``may_fit``) and those that don't, or with apart all that fit of different labels.
+    A pair counts in the first variant that it shares only. Dropped from a later variant's forest it leaves no gap:
+    the first variant's forest has a path between the two, of pairs that count there or in turn in an earlier one.
     """
     most = bits_apart(similarity)
 
@@ -174,23 +194,22 @@ def _met(nodes: DataFrame, similarity: float, apart: bool) -> DataFrame:
         by = np.lexsort((node, route))
         route, node, n, label = route[by], node[by], n[by], label[by]
         fps, odd = (np.stack([w[by] for w in some], axis=1) for some in (words[:TABLES], words[TABLES:]))
-        found: list[np.ndarray] = []
-        for keys in _variants(route, fps):
+        for bit, keys in enumerate(_variants(route, fps)):
             order = np.argsort(keys, kind="stable")
             x, y = _apart(keys[order], fps, label, order, most) if apart else group_links(keys[order], fps[order], most)
             if not apart:
                 x, y = order[x], order[y]
-            fits = may_fit(n[x], n[y], odd[x], odd[y], similarity)
-            pairs = np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), fits], axis=1)
-            if apart:
-                pairs = pairs[fits]
-            found.append(np.unique(pairs, axis=0) if len(pairs) else pairs)
-        pairs = np.unique(np.concatenate(found), axis=0)
-        for i in range(0, len(pairs), SENT):
-            a, b, fits = pairs[i : i + SENT].T
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(fits.astype(bool))], ["a", "b", "fits"])
-
-    return _dealt(nodes).mapInArrow(meet, "a long, b long, fits boolean").distinct()
+            for i in range(0, len(x), SENT):
+                u, v = x[i : i + SENT], y[i : i + SENT]
+                segment, half, place = first_shared(fps[u] ^ fps[v])
+                first = (segment == route[u] >> np.uint32(HALF + 1)) & (half == route[u] >> np.uint32(HALF) & np.uint32(1)) & (place == bit)
+                u, v = u[first], v[first]
+                fits = may_fit(n[u], n[v], odd[u], odd[v], similarity)
+                if apart:
+                    u, v, fits = u[fits], v[fits], fits[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v])), pa.array(fits)], ["a", "b", "fits"])
+
+    return _dealt(nodes).mapInArrow(meet, "a long, b long, fits boolean")
 
 
 def _apart(keys: np.ndarray, fps: np.ndarray, labels: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
